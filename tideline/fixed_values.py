@@ -29,6 +29,10 @@ INGREDIENT_TEXT_CHARS = 2000
 
 # --- white space as seen by the text rules (Unicode white space and the four separators) ----------
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # --- shade names -------------------------------------------------------------------------------
 PARENTHESES = r"\([^)]*\)"
@@ -42,7 +46,7 @@ WORD_SEPARATORS = r"[^a-z0-9]+"
 # --- ingredient lists ----------------------------------------------------------------------------
 INGREDIENT_LABEL = rf"(?iuU)^{SPACE}*(?:ingredients?|ingr[eé]dients?|inci){SPACE}*:{SPACE}*"
 INGREDIENT_SPLIT = r"[,;•\n\r]+"
-INGREDIENT_TRAILING_NOISE = r"(?U)[\s\x1c-\x1f.*†‡]+\z"
+INGREDIENT_TRAILING_NOISE = SPACES + ".*†‡"
 PERCENTAGE = rf"(?U)\b\d+([.,]\d+)?{SPACE}*%"
 INGREDIENT_SEPARATORS = r"[^a-z0-9/ \-]+"
 COLOUR_INDEX = r"^ci\s*(\d{5})$"

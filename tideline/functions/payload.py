@@ -223,8 +223,7 @@ def decode(df: DataFrame, decoder: str = "versioned", value: str = "value") -> D
     def valid(column: Column) -> Column:
         return F.when(good, column)
 
-    return judged.select(
-        *keep,
+    event = F.struct(
         valid(text("event_id")).alias("event_id"),
         valid(text("event_type")).alias("event_type"),
         valid(number("product_id").cast("int")).alias("product_id"),
@@ -233,5 +232,7 @@ def decode(df: DataFrame, decoder: str = "versioned", value: str = "value") -> D
         valid(F.when(review, number("rating").cast("smallint"))).alias("rating"),
         valid(F.timestamp_millis(number("time"))).alias("event_ts"),
         valid(F.when(two, text("channel"))).alias("channel"),
-        "reason",
+        F.col("reason").alias("reason"),
     )
+    # a list of one: a condition on the result is then tested on it, and not rewritten into a second decode
+    return judged.select(*keep, F.inline(F.array(event)))

@@ -76,7 +76,8 @@ def fold_to_ascii(text: Column) -> Column:
         ),
         "",
     )
-    rare = text.rlike("[" + "".join(several) + "]")
+    # looking for one of them by lookup, which a pattern with hundreds of alternatives would not be
+    rare = F.char_length(F.translate(text, "".join(several), "")) < F.char_length(text)
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(
         F.translate(F.when(rare, expanded).otherwise(text), source, target)
     )
@@ -107,33 +108,40 @@ def product_key(brand: Column, name: Column) -> Column:
     return F.concat(normalize_brand(brand), F.lit("|"), _words(F.lower(fold_to_ascii(name))))
 
 
-def normalize_ingredient(raw: Column) -> Column:
-    text = F.regexp_replace(F.lower(fold_to_ascii(raw)), fixed.PERCENTAGE, " ")
-    text = F.regexp_replace(text, fixed.PARENTHESES, " ")
-    text = F.regexp_replace(text, fixed.INGREDIENT_SEPARATORS, " ")
-    text = F.btrim(F.regexp_replace(text, " +", " "), F.lit(" -"))
-    text = F.regexp_replace(text, fixed.COLOUR_INDEX, "ci $1")
-    aliases = F.create_map(*[F.lit(x) for pair in fixed.INGREDIENT_ALIASES.items() for x in pair])
-    return F.coalesce(F.try_element_at(aliases, text), text)
-
-
 def split_ingredients(text: Column) -> Column:
     """Array of normalized ingredients of a label text, each once, in order of first mention.
 
     All steps stay within the row, so a refresh of the ingredient table needs no shuffle and a text or
-    an ingredient that is very common costs nothing extra.
+    an ingredient that is very common costs nothing extra.  Every step is a pass over the array of its own:
+    its variable is computed once, however often the step uses it.
     """
     chunks = F.split(F.regexp_replace(text, fixed.INGREDIENT_LABEL, ""), fixed.INGREDIENT_SPLIT)
-    parts = F.flatten(
-        F.transform(chunks, lambda chunk: F.split(F.regexp_replace(chunk, fixed.INGREDIENT_TRAILING_NOISE, ""), "/"))
+    noise = F.lit(fixed.INGREDIENT_TRAILING_NOISE)
+    parts = F.flatten(F.transform(chunks, lambda chunk: F.split(F.rtrim(chunk, noise), "/")))
+
+    def without(pattern: str, sign: str):
+        return lambda name: F.when(F.contains(name, F.lit(sign)), F.regexp_replace(name, pattern, " ")).otherwise(name)
+
+    names = F.transform(parts, lambda part: F.lower(fold_to_ascii(part)))
+    names = F.transform(names, without(fixed.PERCENTAGE, "%"))
+    names = F.transform(names, without(fixed.PARENTHESES, "("))
+    names = F.transform(
+        names,
+        lambda name: F.btrim(
+            F.regexp_replace(F.regexp_replace(name, fixed.INGREDIENT_SEPARATORS, " "), " +", " "), F.lit(" -")
+        ),
     )
-    names = F.transform(parts, normalize_ingredient)
+    names = F.transform(names, lambda name: F.when(
+        F.startswith(name, F.lit("ci")), F.regexp_replace(name, fixed.COLOUR_INDEX, "ci $1")
+    ).otherwise(name))
+    aliases = F.create_map(*[F.lit(x) for pair in fixed.INGREDIENT_ALIASES.items() for x in pair])
+    names = F.transform(names, lambda name: F.coalesce(F.try_element_at(aliases, name), name))
     return F.array_distinct(F.filter(names, lambda name: F.length(name) > 1))
 
 
 def strip(text: Column) -> Column:
     """Text without white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"(?U)\A{fixed.SPACE}+|{fixed.SPACE}+\z", "")
+    return F.btrim(text, F.lit(fixed.SPACES))
 
 
 def extract_shade(product_name: Column) -> Column:

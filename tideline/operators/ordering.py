@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.session import checkpoint_folder
+from tideline.session import pinned
 
 _PART_SHIFT = 33  # monotonically_increasing_id() keeps the partition above this bit
 
@@ -23,11 +23,8 @@ def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
     use, and every recomputation after a lost executor, sees the same rows in the same place.
     ``order`` should tell all rows apart, otherwise rows that tie cannot be spread.
     """
-    checkpoint_folder(df.sparkSession)
-    numbered = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("_row", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+    numbered = pinned(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
     )
     return numbered.withColumns({
         "_part": F.shiftright("_row", _PART_SHIFT),

@@ -25,8 +25,11 @@ def refresh_products(products: DataFrame, now: Column | None = None) -> DataFram
 def product_ingredients(products: DataFrame) -> DataFrame:
     """One row per ingredient of a product, numbered from 0 in order of first mention."""
     names = text.split_ingredients(F.col("ingredients_text"))
-    return products.where(F.col("ingredients_text") != "").select(
-        "product_id", F.posexplode(names).alias("position", "normalized")
+    # the outer form, since the plain one would test the array for being empty, and so compute it twice
+    return (
+        products.where(F.col("ingredients_text") != "")
+        .select("product_id", F.posexplode_outer(names).alias("position", "normalized"))
+        .where(F.col("position").isNotNull())
     )
 
 

@@ -51,7 +51,7 @@ def _is(x: str, pattern: str) -> str:
 
 
 def _category(x: str) -> str:
-    tags = f"list_filter(string_split({x}, ','), t -> {_is('t', _MAKEUP)})"
+    tags = f"list_filter(string_split({x}, ','), lambda t: {_is('t', _MAKEUP)})"
     return f"string_split(coalesce({tags}[-1], 'makeup'), ':')[-1]"
 
 
@@ -172,9 +172,9 @@ named AS (
 SELECT product_id, i, j, CASE WHEN name IN ('aqua', 'eau') THEN 'water' WHEN name IN ('parfum', 'perfume') THEN 'fragrance'
  WHEN name = 'cera alba' THEN 'beeswax' ELSE name END AS name FROM steps),
 mentions AS (
-SELECT product_id, name, min(i * 1000000 + j) AS at FROM named WHERE length(name) > 1 GROUP BY product_id, name),
+SELECT product_id, name, min(i * 1000000 + j) AS first_at FROM named WHERE length(name) > 1 GROUP BY product_id, name),
 ingredients AS (
-SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY at) - 1 AS INT) AS position, name AS normalized FROM mentions)"""
+SELECT product_id, CAST(row_number() OVER (PARTITION BY product_id ORDER BY first_at) - 1 AS INT) AS position, name AS normalized FROM mentions)"""
 
 _FILTERED = f"""
 cleaned AS (

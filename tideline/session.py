@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,3 +57,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tideline-checkpoints-")
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: later uses read it instead of computing it again."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
