@@ -67,17 +67,18 @@ def payload_text(value: Column) -> Column:
 def _parse(df: DataFrame, value: str) -> DataFrame:
     """Add ``_text`` and ``_doc``.
 
-    The parser stops at the end of the first value, so text after a document would go unseen.  A
-    document has to parse as the only element of a list and as the only field of an object; no text
-    that continues after its first value can end both.
+    The parser stops at the end of the first value, so text after a document would go unseen.  Therefore the
+    document is parsed as the first of two list elements, and the second must be the hash of the text.
     """
-    wrapped = df.withColumn("_text", payload_text(F.col(value))).withColumn(
-        "_list", F.try_parse_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")))
+    mark = F.xxhash64("_text")
+    pair = F.concat(F.lit("["), F.col("_text"), F.lit(","), mark.cast("string"), F.lit("]"))
+    marked = F.try_variant_get("_pair", "$[1]", "bigint") == mark
+    return (
+        df.withColumn("_text", payload_text(F.col(value)))
+        .withColumn("_pair", F.try_parse_json(pair))
+        .withColumn("_doc", F.when(marked, F.try_variant_get("_pair", "$[0]", "variant")))
+        .drop("_pair")
     )
-    as_field = F.try_parse_json(F.concat(F.lit('{"d":'), F.col("_text"), F.lit("}")))
-    return wrapped.withColumn(
-        "_doc", F.when(F.col("_list").isNotNull(), F.try_variant_get(as_field, "$.d", "variant"))
-    ).drop("_list")
 
 
 def _status(value: str) -> Column:
@@ -94,145 +95,155 @@ def decode_status(df: DataFrame, value: str = "value") -> DataFrame:
     return _parse(df, value).withColumn("status", F.coalesce(_status(value), F.lit("ok"))).drop("_text", "_doc")
 
 
-def _field(name: str) -> Column:
-    return F.try_variant_get(F.col("_doc"), f"$.{name}", "variant")
-
-
-def _kind(column: str) -> Column:
-    """JSON type of a field as text; null when absent or JSON null."""
-    return F.nullif(F.schema_of_variant(column), F.lit("VOID"))
-
-
-def _is_integer(kind: Column, token: Column) -> Column:
-    """A JSON integer of any length. ``1.0`` and ``1e3`` are not integers, ``true`` neither.
-
-    Integers beyond 64 bits reach us as DECIMAL or DOUBLE, so there the text of the number decides.
-    """
-    long_number = (kind.startswith("DECIMAL") | (kind == "DOUBLE")) & token.rlike(r"^-?[0-9]+$")
-    return (kind == "BIGINT") | F.coalesce(long_number, F.lit(False))
+_WIRE = ("schema_version", *fixed.V1_FIELDS, "customer_id", "occurred_at_ms", "channel")
+_INTEGERS = ("product_id", "shade_id", "user", "time", "rating")
 
 
 def _version() -> Column:
     """1 or 2 for a version we read, 0 for any other. An absent version is 1; JSON null is not."""
-    kind, number = F.schema_of_variant("_version"), F.try_variant_get("_version", "$", "double")
+    field = F.col("_wire.schema_version")
+    kind, number = F.schema_of_variant(field), F.try_variant_get(field, "$", "double")
     return (
         F.when(kind.isNull(), 1)
-        .when((kind == "BOOLEAN") & F.try_variant_get("_version", "$", "boolean"), 1)
-        .when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"),
+        .when((kind == "BOOLEAN") & F.try_variant_get(field, "$", "boolean"), 1)
+        .when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"),
               F.when(number == 1, 1).when(number == 2, 2).otherwise(0))
         .otherwise(0)
     )
 
 
+def _first_of(*reasons: str) -> Column:
+    """The first column with a reason. (Not ``coalesce``, so that each stays a step of its own in the plan.)"""
+    chain = F.when(F.col(reasons[0]).isNotNull(), F.col(reasons[0]))
+    for name in reasons[1:]:
+        chain = chain.when(F.col(name).isNotNull(), F.col(name))
+    return chain
+
+
+def _step(df: DataFrame, keep: list[str], columns: list) -> DataFrame:
+    """``df`` with ``columns`` passed through a list of one.
+
+    The generated code of the two sides ends up in methods of its own, each small enough for the JIT compiler.
+    A condition on the result is tested on it and not rewritten in terms of what came before, which would
+    decode twice.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def decode(df: DataFrame, decoder: str = "versioned", value: str = "value") -> DataFrame:
     """``df`` with the eight event columns and ``reason``.
 
     ``versioned`` reads versions 1 and 2.  ``strict-v1`` takes only documents with exactly the seven
     version 1 fields and calls all others ``schema_mismatch``.  Event columns are null where a
     reason is set.  Columns of ``df`` with the name of an event column are replaced.
+
+    The rules are laid out in two halves of moderate size, see :func:`_step`.
     """
     if decoder not in DECODERS:
         raise ValueError(f"unknown decoder {decoder!r}, expected one of {DECODERS}")
     strict = decoder == "strict-v1"
     keep = [name for name in df.columns if name not in (*_EVENT, "reason")]
-    parsed = _parse(df, value).withColumn("_status", _status(value))
 
+    # ---- fields by their wire name, each with its JSON type
+    parsed = _parse(df, value).withColumns({
+        "_status": _status(value),
+        "_wire": F.col("_doc").try_cast("struct<" + ",".join(f"{name}:variant" for name in _WIRE) + ">"),
+    })
     if strict:
         names = F.array_sort(F.map_keys(F.col("_doc").try_cast("map<string,variant>")))
         exact = names == F.array(*[F.lit(name) for name in sorted(fixed.V1_FIELDS)])
-        parsed = parsed.withColumn(
-            "_status", F.coalesce("_status", F.when(~F.coalesce(exact, F.lit(False)), "schema_mismatch"))
-        ).withColumn("_v", F.lit(1))
+        mismatch = F.when(~F.coalesce(exact, F.lit(False)), "schema_mismatch")
+        parsed = parsed.withColumns({"_status": F.coalesce("_status", mismatch), "_v": F.lit(1)})
     else:
-        parsed = parsed.withColumn("_version", _field("schema_version")).withColumn("_v", _version())
+        parsed = parsed.withColumn("_v", _version())
     two = F.col("_v") == 2
 
-    def either(new: str, old: str) -> Column:
-        return _field(old) if strict else F.when(two, _field(new)).otherwise(_field(old))
-
-    def wire_name(new: str, old: str) -> Column:
-        return F.lit(old) if strict else F.when(two, new).otherwise(old)
-
-    fields = parsed.withColumns({
-        "_f_event_id": _field("event_id"), "_f_event_type": _field("event_type"),
-        "_f_product_id": _field("product_id"), "_f_shade_id": _field("shade_id"),
-        "_f_user": either("customer_id", "user_id"), "_f_time": either("occurred_at_ms", "produced_at_ms"),
-        "_f_rating": _field("rating"), "_f_channel": _field("channel"),
+    def either(new: Column, old: Column) -> Column:
+        return old if strict else F.when(two, new).otherwise(old)
+
+    def wire(name: str) -> Column:
+        return F.col(f"_wire.{name}")
+
+    wire_names = {part: F.lit(part) for part in ("event_id", "event_type", "product_id", "shade_id", "rating")}
+    wire_names["user"] = either(F.lit("customer_id"), F.lit("user_id"))
+    wire_names["time"] = either(F.lit("occurred_at_ms"), F.lit("produced_at_ms"))
+    fields = {part: wire(part) for part in ("event_id", "event_type", "product_id", "shade_id", "rating", "channel")}
+    fields["user"] = either(wire("customer_id"), wire("user_id"))
+    fields["time"] = either(wire("occurred_at_ms"), wire("produced_at_ms"))
+    picked = parsed.withColumns({f"_f_{part}": field for part, field in fields.items()}).drop("_wire", "_doc")
+    typed = picked.withColumns({
+        f"_k_{part}": F.nullif(F.schema_of_variant(f"_f_{part}"), F.lit("VOID")) for part in fields
     })
-    parts = ("event_id", "event_type", "product_id", "shade_id", "user", "time", "rating", "channel")
-    typed = fields.withColumns({f"_k_{part}": _kind(f"_f_{part}") for part in parts})
 
-    names = {
-        "event_id": F.lit("event_id"), "event_type": F.lit("event_type"), "product_id": F.lit("product_id"),
-        "shade_id": F.lit("shade_id"), "user": wire_name("customer_id", "user_id"),
-        "time": wire_name("occurred_at_ms", "produced_at_ms"), "rating": F.lit("rating"),
-    }
-
-    def long_token(part: str) -> Column:
-        by_part = {"user": ("customer_id", "user_id"), "time": ("occurred_at_ms", "produced_at_ms")}
-        if part not in by_part:
-            return F.get_json_object("_text", f"$.{part}")
-        new, old = by_part[part]
-        return F.when(two, F.get_json_object("_text", f"$.{new}")).otherwise(F.get_json_object("_text", f"$.{old}"))
-
-    def text(part: str) -> Column:
-        return F.try_variant_get(f"_f_{part}", "$", "string")
-
-    def number(part: str) -> Column:
-        return F.try_variant_get(f"_f_{part}", "$", "bigint")
+    typed = _step(typed, keep, [name for name in typed.columns if name not in df.columns])
 
     def kind(part: str) -> Column:
         return F.col(f"_k_{part}")
 
-    def not_integer(part: str) -> Column:
-        return ~F.coalesce(_is_integer(kind(part), long_token(part)), F.lit(False))
+    # ---- integers: 1.0, 1e3 and true are none; one beyond 64 bits arrives as DECIMAL or DOUBLE, so its text decides
+    def token(part: str) -> Column:
+        if part == "user":
+            return either(F.get_json_object("_text", "$.customer_id"), F.get_json_object("_text", "$.user_id"))
+        if part == "time":
+            return either(F.get_json_object("_text", "$.occurred_at_ms"), F.get_json_object("_text", "$.produced_at_ms"))
+        return F.get_json_object("_text", f"$.{part}")
+
+    def is_integer(part: str) -> Column:
+        other = kind(part).startswith("DECIMAL") | (kind(part) == "DOUBLE")
+        return F.when(kind(part) == "BIGINT", True).when(other, token(part).rlike(r"^-?[0-9]+$")).otherwise(False)
+
+    tested = typed.withColumns({f"_i_{part}": F.coalesce(is_integer(part), F.lit(False)) for part in _INTEGERS})
+    valued = tested.withColumns({
+        **{f"_n_{part}": F.when(F.col(f"_i_{part}"), F.try_variant_get(f"_f_{part}", "$", "bigint")) for part in _INTEGERS},
+        "_negative": F.try_variant_get("_f_product_id", "$", "double") <= 0,
+        **{f"_t_{part}": F.when(kind(part) == "STRING", F.try_variant_get(f"_f_{part}", "$", "string"))
+           for part in ("event_id", "event_type", "channel")},
+    })
+
+    # ---- the first rule that fails
+    def because(word: str, part: str) -> Column:
+        return F.concat(F.lit(word + ":"), wire_names[part])
+
+    def number(part: str) -> Column:
+        return F.col(f"_n_{part}")
 
     def outside(part: str, low: int, high: int) -> Column:
         return ~F.coalesce(number(part).between(low, high), F.lit(False))
 
-    def because(word: str, part: str) -> Column:
-        return F.concat(F.lit(word + ":"), names[part])
-
-    review = text("event_type") == "review"
-    required = parts[:6]
-    reason = F.when(F.col("_status").isNotNull(), F.col("_status"))
-    reason = reason.when(F.col("_v") == 0, "unsupported_version")
-    reason = reason.when(two & kind("channel").isNotNull() & (kind("channel") != "STRING"), "wrong_type:channel")
-    for part in required:
-        reason = reason.when(kind(part).isNull(), because("missing_field", part))
-    reason = reason.when((kind("event_id") != "STRING") | (text("event_id") == ""), "wrong_type:event_id")
-    reason = reason.when(
-        (kind("event_type") != "STRING") | ~text("event_type").isin(*fixed.EVENT_TYPES), "unknown_event_type"
-    )
+    shape = F.when(F.col("_status").isNotNull(), F.col("_status"))
+    if not strict:
+        shape = shape.when(F.col("_v") == 0, "unsupported_version")
+        shape = shape.when(two & kind("channel").isNotNull() & (kind("channel") != "STRING"), "wrong_type:channel")
+    missing = F.lit(None).cast("string")
+    for part in reversed(("event_id", "event_type", "product_id", "shade_id", "user", "time")):
+        missing = F.when(kind(part).isNull(), because("missing_field", part)).otherwise(missing)
+    wrong = F.when(F.coalesce(F.col("_t_event_id"), F.lit("")) == "", "wrong_type:event_id")
+    wrong = wrong.when(~F.coalesce(F.col("_t_event_type").isin(*fixed.EVENT_TYPES), F.lit(False)), "unknown_event_type")
     for part in ("product_id", "shade_id", "user", "time"):
-        reason = reason.when(not_integer(part), because("wrong_type", part))
-    # a long integer is a number here, and falls out of range below
-    reason = reason.when(
-        (number("product_id") <= 0) | (number("product_id").isNull() & long_token("product_id").startswith("-")),
-        "out_of_range:product_id",
-    )
-    reason = reason.when(review & not_integer("rating"), "wrong_type:rating")
-    reason = reason.when(review & outside("rating", fixed.RATING_MIN, fixed.RATING_MAX), "out_of_range:rating")
+        wrong = wrong.when(~F.col(f"_i_{part}"), because("wrong_type", part))
+    review = F.col("_t_event_type") == "review"
+    limits = F.when(F.col("_negative"), "out_of_range:product_id")
+    limits = limits.when(review & ~F.col("_i_rating"), "wrong_type:rating")
+    limits = limits.when(review & outside("rating", fixed.RATING_MIN, fixed.RATING_MAX), "out_of_range:rating")
     for part in ("product_id", "shade_id", "user"):
-        reason = reason.when(outside(part, fixed.INT_MIN, fixed.INT_MAX), because("out_of_range", part))
-    reason = reason.when(outside("time", fixed.MS_MIN, fixed.MS_MAX), because("out_of_range", "time"))
-
-    judged = typed.withColumn("reason", reason)
-    good = F.col("reason").isNull()
+        limits = limits.when(outside(part, fixed.INT_MIN, fixed.INT_MAX), because("out_of_range", part))
+    limits = limits.when(outside("time", fixed.MS_MIN, fixed.MS_MAX), because("out_of_range", "time"))
+    judged = valued.withColumns({"_shape": shape, "_missing": missing}).withColumn("_wrong", wrong)
+    judged = judged.withColumn("_limits", limits)
+    judged = judged.withColumn("_reason", _first_of("_shape", "_missing", "_wrong", "_limits"))
 
     def valid(column: Column) -> Column:
-        return F.when(good, column)
-
-    event = F.struct(
-        valid(text("event_id")).alias("event_id"),
-        valid(text("event_type")).alias("event_type"),
-        valid(number("product_id").cast("int")).alias("product_id"),
-        valid(number("shade_id").cast("int")).alias("shade_id"),
-        valid(number("user").cast("int")).alias("user_id"),
-        valid(F.when(review, number("rating").cast("smallint"))).alias("rating"),
-        valid(F.timestamp_millis(number("time"))).alias("event_ts"),
-        valid(F.when(two, text("channel"))).alias("channel"),
-        F.col("reason").alias("reason"),
-    )
-    # a list of one: a condition on the result is then tested on it, and not rewritten into a second decode
-    return judged.select(*keep, F.inline(F.array(event)))
+        return F.when(F.col("_reason").isNull(), column)
+
+    event = {
+        "event_id": valid(F.col("_t_event_id")),
+        "event_type": valid(F.col("_t_event_type")),
+        "product_id": valid(number("product_id").cast("int")),
+        "shade_id": valid(number("shade_id").cast("int")),
+        "user_id": valid(number("user").cast("int")),
+        "rating": valid(F.when(review, number("rating").cast("smallint"))),
+        "event_ts": valid(F.timestamp_millis(number("time"))),
+        "channel": valid(F.when(two, F.col("_t_channel"))),
+        "reason": F.col("_reason"),
+    }
+    return _step(judged, keep, [column.alias(name) for name, column in event.items()])

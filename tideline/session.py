@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # building a plan does not need the Python line of every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # replace only the partitions that a write touches
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -34,6 +36,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
