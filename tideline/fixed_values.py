@@ -46,12 +46,12 @@ WORD_SEPARATORS = r"[^a-z0-9]+"
 # --- ingredient lists ----------------------------------------------------------------------------
 INGREDIENT_LABEL = rf"(?iuU)^{SPACE}*(?:ingredients?|ingr[eé]dients?|inci){SPACE}*:{SPACE}*"
 # signs that separate ingredients; "/" joins two names of one, which are kept apart as well
-INGREDIENT_SIGNS = ",;•\r/"
+INGREDIENT_SIGNS = r"[,;•\r\n/]+"
 # the patterns below work on one ingredient per line and do not cross lines
 PERCENTAGE = r"(?U)\b\d+([.,]\d+)?[\s\x1c-\x1f&&[^\n]]*%"
 LINE_PARENTHESES = r"\([^)\n]*\)"
 INGREDIENT_SEPARATORS = r"[^a-z0-9/ \-\n]+"
-COLOUR_INDEX = r"(?m)^ci *(\d{5})$"
+COLOUR_INDEX = r"^ci *(\d{5})$"
 INGREDIENT_ALIASES = {
     "aqua": "water",
     "eau": "water",

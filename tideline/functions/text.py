@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -115,28 +116,33 @@ def product_key(brand: Column, name: Column) -> Column:
     return F.concat(normalize_brand(brand), F.lit("|"), _words(F.lower(fold_to_ascii(name))))
 
 
-def _normal_lines(text: Column) -> Column:
-    """Normalize every line of a text on its own."""
-    def where(sign: str, text: Column, pattern: str, target: str) -> Column:
-        return F.when(F.contains(text, F.lit(sign)), F.regexp_replace(text, pattern, target)).otherwise(text)
-
-    text = where("%", F.lower(fold_to_ascii(text)), fixed.PERCENTAGE, " ")
-    text = where("(", text, fixed.LINE_PARENTHESES, " ")
-    text = F.regexp_replace(text, fixed.INGREDIENT_SEPARATORS, " ")
-    text = F.regexp_replace(text, "  +", " ")
-    # spaces and hyphens at both ends of a line
-    text = F.btrim(F.regexp_replace(text, r"[ \-]*\n[ \-\n]*", "\n"), F.lit(" -\n"))
-    return F.regexp_replace(text, fixed.COLOUR_INDEX, "ci $1")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _alias(name: Column) -> Column:
+def _normal_lines(text: Column) -> Column:
+    """The lines of a text as an array, each normalized on its own."""
+    def without(sign: str, pattern: str) -> Callable[[Column], Column]:
+        # most texts do not have the sign, and finding that out is cheap
+        return lambda text: F.when(
+            F.contains(text, F.lit(sign)), F.regexp_replace(text, pattern, " ")
+        ).otherwise(text)
+
+    text = _let(F.lower(_let(text, fold_to_ascii)), without("%", fixed.PERCENTAGE))
+    text = _let(text, without("(", fixed.LINE_PARENTHESES))
+    text = F.regexp_replace(F.regexp_replace(text, fixed.INGREDIENT_SEPARATORS, " "), "  +", " ")
+    lines = F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(" -")))
+    lines = F.transform(lines, lambda line: F.when(
+        F.startswith(line, F.lit("ci")), F.regexp_replace(line, fixed.COLOUR_INDEX, "ci $1")
+    ).otherwise(line))
     aliases = F.create_map(*[F.lit(x) for pair in fixed.INGREDIENT_ALIASES.items() for x in pair])
-    return F.coalesce(F.try_element_at(aliases, name), name)
+    return F.transform(lines, lambda line: F.coalesce(F.try_element_at(aliases, line), line))
 
 
 def normalize_ingredient(raw: Column) -> Column:
     """One spelling for a single ingredient."""
-    return _alias(_normal_lines(F.translate(raw, "\r\n", "  ")))
+    return F.get(_normal_lines(F.translate(raw, "\r\n", "  ")), F.lit(0))
 
 
 def split_ingredients(text: Column) -> Column:
@@ -148,8 +154,7 @@ def split_ingredients(text: Column) -> Column:
     every product has costs nothing extra.
     """
     body = F.regexp_replace(text, fixed.INGREDIENT_LABEL, "")
-    lines = _normal_lines(F.translate(body, fixed.INGREDIENT_SIGNS, "\n" * len(fixed.INGREDIENT_SIGNS)))
-    names = F.transform(F.split(lines, "\n"), _alias)
+    names = _normal_lines(F.regexp_replace(body, fixed.INGREDIENT_SIGNS, "\n"))
     return F.array_distinct(F.filter(names, lambda name: F.length(name) > 1))
 
 
