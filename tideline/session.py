@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # state of a stream (ids within a watermark) outgrows executor memory, so it is kept on disk
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # building a plan does not need the Python line of every column expression
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # replace only the partitions that a write touches
