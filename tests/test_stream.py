@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from helpers import event_rows, events, payloads, raw, summary, write_messages
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from tideline.streaming.ingest import BadEvent, Ingest
 
 @pytest.fixture
 def place(tmp_path):
-    return {name: str(tmp_path / name) for name in ("topic", "store", "check", "check2", "lake")}
+    return {name: str(tmp_path / name) for name in ("topic", "store", "check", "check2", "check3", "lake")}
 
 
 def run(spark, job, place, checkpoint="check", max_files=None):
@@ -42,7 +44,15 @@ def test_overlap_and_replay(spark, place):
     write_messages(spark, place["topic"], payloads(spark, event_rows(20, first=400)))
     run(spark, job, place)
     assert counts(spark, place)["stats_total"] == 320 and store.fold(spark, place["store"]) == 2
-    assert counts(spark, place) == {"events": 320, "stats_total": 320, "mismatched_products": 0}
+    expected = {"events": 320, "stats_total": 320, "mismatched_products": 0}
+    assert counts(spark, place) == expected and store.fold(spark, place["store"]) == 2
+    assert {r["batch_id"] for r in store.events(spark, place["store"]).collect()} == {0, 3}
+    # folded batches are not needed any more, and still count as stored
+    for table in ("events", "deltas", "commits"):
+        shutil.rmtree(f"{place['store']}/{table}")
+    assert counts(spark, place) == expected
+    run(spark, Ingest(place["store"], run="c"), place, checkpoint="check3")
+    assert counts(spark, place) == expected
 
 
 @pytest.mark.parametrize("table", ["events", "deltas", "commits"])

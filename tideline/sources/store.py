@@ -8,18 +8,21 @@ Each micro-batch writes its own folders, in this order:
 ``commits/run=R/batch_id=N``           one row; the batch counts from here on
 
 A batch that is replayed after a crash overwrites what it left behind, and a batch with a commit is not
-written again.  Readers stop at the last commit, so they never see half a batch.  The run is part of the path because
-a new checkpoint numbers its batches from 0 again.
+written again.  Readers stop at the last commit of a run, so they never see half a batch.  The run is part of the path because
+a new checkpoint numbers its batches from 0 again.  ``fold`` merges the small files of many batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tideline.operators import rollup
-from tideline.sources.logs import or_empty  # noqa: F401 (also used by the stream)
+from tideline.sources.lake import ROWS_PER_FILE
+from tideline.sources.logs import or_empty
 from tideline.tables import DEAD_LETTERS, LAKE_EVENTS, LONG, PRODUCT_STATS, REAL, TEXT, TIME, extended, schema
 
 COMMITS = schema(committed_at=TIME, processed=LONG, inserted=LONG, dlq=LONG, sink_ms=REAL)
@@ -39,78 +42,99 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, "commits", COMMITS)
 
 
-def last_batches(spark: SparkSession, root: str) -> list[tuple[str, int]]:
-    """Last committed batch of every run. A run commits its batches one after the other."""
-    last = commits(spark, root).groupBy("run").agg(F.max("batch_id").alias("last"))
-    return [(row["run"], row["last"]) for row in last.collect()]  # a row per run, not per batch
-
-
 def is_committed(spark: SparkSession, root: str, run: str, batch_id: int) -> bool:
     folder = batch_folder(root, "commits", run, batch_id)
     return not or_empty(spark, COMMITS, lambda: spark.read.schema(COMMITS).parquet(folder)).isEmpty()
 
 
-def _committed(spark: SparkSession, root: str, table: str, columns: StructType) -> DataFrame:
-    # a condition on partition columns: folders of an unfinished batch are pruned, not read
-    done = F.lit(False)
-    for run, last in last_batches(spark, root):
-        done = done | ((F.col("run") == run) & (F.col("batch_id") <= last))
-    return _read(spark, root, table, columns).where(done)
+@dataclass(frozen=True)
+class Progress:
+    """Version of the last fold, and per run the last batch it contains and the last batch committed.
+
+    A run commits its batches one after the other, so a number per run says which count.
+    """
+
+    version: int
+    folded: dict[str, int]
+    committed: dict[str, int]
+
+    def done(self) -> Column:
+        return self._batches({})
+
+    def pending(self) -> Column:
+        return self._batches(self.folded)
+
+    def _batches(self, after: dict[str, int]) -> Column:
+        # a condition on partition columns: the folders of other batches are pruned, not read
+        chosen = F.lit(False)
+        for run, last in self.committed.items():
+            chosen = chosen | (
+                (F.col("run") == run) & (F.col("batch_id") <= last) & (F.col("batch_id") > after.get(run, -1))
+            )
+        return chosen
+
+
+def progress(spark: SparkSession, root: str) -> Progress:
+    notes = or_empty(spark, _FOLDED, lambda: spark.read.schema(_FOLDED).parquet(f"{root}/folds"))
+    version = notes.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    # both lists have a row per run, not per batch
+    folded = {row["run"]: row["through"] for row in notes.where(F.col("version") == version).collect()}
+    last = commits(spark, root).groupBy("run").agg(F.max("batch_id").alias("last")).collect()
+    committed = {**folded, **{row["run"]: max(row["last"], folded.get(row["run"], -1)) for row in last}}
+    return Progress(version, folded, committed)
+
+
+def _folded_events(spark: SparkSession, root: str, version: int) -> DataFrame:
+    columns = extended(LAKE_EVENTS, run=TEXT, batch_id=LONG, version=LONG)
+    parts = or_empty(spark, columns, lambda: spark.read.schema(columns).parquet(f"{root}/folded_events"))
+    return parts.where(F.col("version") <= version).drop("version")
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
     """Stored events of committed batches, with run, batch_id and dt."""
-    return _committed(spark, root, "events", LAKE_EVENTS)
+    now = progress(spark, root)
+    later = _read(spark, root, "events", LAKE_EVENTS).where(now.pending())
+    return _folded_events(spark, root, now.version).unionByName(later)
 
 
 def dead_letters(spark: SparkSession, root: str) -> DataFrame:
-    return _committed(spark, root, "dead_letters", DEAD_LETTERS)
-
+    return _read(spark, root, "dead_letters", DEAD_LETTERS).where(progress(spark, root).done())
 
-def _folded(spark: SparkSession, root: str) -> DataFrame:
-    """Last batch of each run that the current rollup base contains."""
-    return or_empty(spark, _FOLDED, lambda: spark.read.schema(_FOLDED).parquet(f"{root}/rollup_versions"))
 
-
-def _base(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
-    version = _folded(spark, root).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-    if version == 0:
-        return 0, spark.createDataFrame([], PRODUCT_STATS)
-    return version, spark.read.schema(PRODUCT_STATS).parquet(f"{root}/rollup/version={version}")
+def _stats(spark: SparkSession, root: str, now: Progress) -> DataFrame:
+    deltas = _read(spark, root, "deltas", PRODUCT_STATS).where(now.pending()).select(*PRODUCT_STATS.fieldNames())
+    if now.version == 0:
+        return rollup.add_up(deltas)
+    return rollup.add_up(spark.read.schema(PRODUCT_STATS).parquet(f"{root}/rollup/version={now.version}"), deltas)
 
 
 def product_stats(spark: SparkSession, root: str) -> DataFrame:
-    """The rollup: the last folded base and the deltas of the batches after it."""
-    version, base = _base(spark, root)
-    folded = _folded(spark, root).where(F.col("version") == version).select("run", "through")
-    deltas = _committed(spark, root, "deltas", PRODUCT_STATS).join(folded, "run", "left")
-    later = deltas.where(F.col("batch_id") > F.coalesce("through", F.lit(-1)))
-    return rollup.add_up(base, later.select(*PRODUCT_STATS.fieldNames()))
+    """The rollup: the base of the last fold and the deltas of the batches after it."""
+    return _stats(spark, root, progress(spark, root))
 
 
-def fold(spark: SparkSession, root: str) -> int:
-    """Write a new rollup base that contains all committed deltas, so that reading it stays cheap.
+def fold(spark: SparkSession, root: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Merge what the batches since the last fold left in small files. Returns the current version.
 
-    The note which batches it contains is written last and makes the base current.
+    Their events go to larger files by day, sorted by product and time; their deltas go into a new rollup base.
+    Earlier folds are not rewritten.  The note which batches are merged is written last and makes the fold
+    count.  The folders of merged batches are not read again and may be deleted.
     """
-    version, _ = _base(spark, root)
-    through = last_batches(spark, root)
-    if not through:
-        return version
-    # batches that commit from now on belong to a later base
-    bound = spark.createDataFrame(through, "run string, bound bigint")
-    _, base = _base(spark, root)
-    before = _folded(spark, root).where(F.col("version") == version).select("run", "through")
-    deltas = (
-        _committed(spark, root, "deltas", PRODUCT_STATS).join(before, "run", "left").join(bound, "run")
-        .where((F.col("batch_id") > F.coalesce("through", F.lit(-1))) & (F.col("batch_id") <= F.col("bound")))
-    )
-    new = version + 1
-    rollup.add_up(base, deltas.select(*PRODUCT_STATS.fieldNames())).write.mode("overwrite").parquet(
-        f"{root}/rollup/version={new}"
+    now = progress(spark, root)
+    if now.committed == now.folded:
+        return now.version
+    new = now.version + 1
+    batches = _read(spark, root, "events", LAKE_EVENTS).where(now.pending())
+    parts = max(1, -(-batches.count() // rows_per_file))
+    order = ["dt", "product_id", "event_ts", "event_id"]
+    (
+        batches.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("dt")
+        .option("compression", "zstd").parquet(f"{root}/folded_events/version={new}")
     )
-    note = bound.select("run", F.col("bound").alias("through"), F.lit(new).cast("bigint").alias("version"))
-    note.coalesce(1).write.mode("append").parquet(f"{root}/rollup_versions")
+    _stats(spark, root, now).write.mode("overwrite").parquet(f"{root}/rollup/version={new}")
+    notes = [(run, last, new) for run, last in now.committed.items()]
+    spark.createDataFrame(notes, _FOLDED).coalesce(1).write.mode("append").parquet(f"{root}/folds")
     return new
 
 

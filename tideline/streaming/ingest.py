@@ -16,6 +16,7 @@ from tideline.functions.payload import decode
 from tideline.operators import dedupe, rollup
 from tideline.session import configure
 from tideline.sources import lake, store
+from tideline.sources.logs import or_empty
 from tideline.tables import EVENT_COLUMNS
 
 POLICIES = ("dlq", "skip", "fail")
@@ -110,7 +111,7 @@ class Ingest:
                 F.col("offset").alias("source_offset"),
             ).write.mode("overwrite").parquet(folder("dead_letters"))
         # from the files just written, so that rollup and events cannot differ
-        written = store.or_empty(
+        written = or_empty(
             spark, new.schema, lambda: spark.read.schema(new.schema).parquet(folder("events"))
         )
         delta = rollup.product_stats(written)
