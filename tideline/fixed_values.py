@@ -7,10 +7,6 @@ They are data, not logic.  Patterns are written in Java regular-expression synta
 # --- wire format -------------------------------------------------------------------------------
 EVENT_TYPES = ("view", "search", "review")
 V1_FIELDS = ("event_id", "event_type", "product_id", "shade_id", "user_id", "rating", "produced_at_ms")
-V2_FIELDS = (
-    "schema_version", "event_id", "event_type", "product_id", "shade_id",
-    "customer_id", "rating", "occurred_at_ms", "channel",
-)
 DEFAULT_CHANNEL = "app"
 RATING_MIN, RATING_MAX = 1, 5
 INT_MIN, INT_MAX = -2147483648, 2147483647
@@ -19,7 +15,6 @@ MS_MIN, MS_MAX = -62135596800000, 253402300799999
 
 # --- reports -----------------------------------------------------------------------------------
 TOP_K = 20
-POLL_SIZE = 500
 RECOVERED_BACKLOG = 1000
 ROW_GROUP_ROWS = 100_000
 UNSPECIFIED_SHADE = "unspecified"

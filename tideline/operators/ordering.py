@@ -72,7 +72,7 @@ def nearest_rank(df: DataFrame, group: Sequence[str], value: str, quantiles: dic
     """Exact percentiles per group: the sorted value at index ``min(n - 1, floor(q * n))``.
 
     Equal values are counted before they travel, and the distinct values of a group are spread over
-    partitions by value, so one group may hold any share of the rows.
+    partitions by value, so one group may hold any share of the rows.  Group columns must not be null.
     """
     group = list(group)
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))

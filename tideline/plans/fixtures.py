@@ -148,8 +148,8 @@ SELECT concat('run-', CAST(event_id % 3 AS {S})) AS scenario, CAST(event_id % 2
 FROM events
 """
 VIEWS["scenarios"] = """
-SELECT scenario, CAST(1704067200 AS DOUBLE) AS t0, CAST(1704067200 AS DOUBLE) + trunc_half AS produce_end
-FROM (SELECT scenario, CAST(count(*) AS DOUBLE) / CAST(8 AS DOUBLE) AS trunc_half FROM metric_windows GROUP BY scenario) q
+SELECT scenario, CAST(1704067200 AS DOUBLE) AS t0, CAST(1704067200 AS DOUBLE) + length_s AS produce_end
+FROM (SELECT scenario, CAST(count(*) AS DOUBLE) / CAST(8 AS DOUBLE) AS length_s FROM metric_windows GROUP BY scenario) q
 """
 VIEWS["refreshes"] = """
 SELECT scenario, sink_ms_total / CAST(8 AS DOUBLE) AS duration_s FROM metric_windows WHERE consumer = 1
