@@ -1,6 +1,7 @@
 """Every registered query against DuckDB on the smallest tables."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -33,4 +34,5 @@ def test_entry(spark):
 
 def test_every_query_has_a_check_or_is_known_to_have_none():
     assert set(spark_entry.oracle_sql()) <= set(NAMES)
-    assert set(NAMES) - set(spark_entry.oracle_sql()) == {"layout_sizes"}
+    without = {name for name in set(NAMES) - set(spark_entry.oracle_sql()) if not re.match(r"op\d+_|pipeline$", name)}
+    assert without == {"layout_sizes"}
