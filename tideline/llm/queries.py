@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import line_dedup, packing, secrets
+from tideline.llm import line_dedup, packing, secrets, simhash, substring_dedup
 
 
 def _table(spark, sf_dir, name):
@@ -19,10 +19,20 @@ def op3_line_dedup(spark, sf_dir):
     return line_dedup.digest_rows(_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark, sf_dir):
+    """Fingerprint and group of near duplicates of each document."""
+    return simhash.digest_rows(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    """Each document without the long word sequences that a smaller document holds."""
+    return substring_dedup.digest_rows(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     """Where each piece of each document lies in the token sequences."""
     return packing.digest_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_line_dedup, op8_simhash, op9_substring_dedup, op10_packing)}
 ORACLES = {}
