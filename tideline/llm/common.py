@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import tideline
 from tideline.session import pinned
 
-__all__ = ["arrow_map", "digests", "partitions", "pinned", "sha256_hex", "text_bytes", "with_row"]
-
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(tideline.__file__)))
+__all__ = ["arrow_map", "digests", "packed_texts", "partitions", "pinned", "text_bytes", "unpack", "with_row"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -36,18 +32,19 @@ def with_row(df: DataFrame, **columns: Column) -> DataFrame:
                      *[column.alias(name) for name, column in columns.items()])
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str,
+              most_bytes: int = 16 << 20) -> DataFrame:
     """``function`` over each Arrow batch, cut so small that very long texts do not fill a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes):
                 yield from function(part)
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most_bytes`` each; a single longer row stays whole."""
     parts = max(1, min(batch.num_rows, -(-batch.nbytes // most_bytes)))
     size = max(1, -(-batch.num_rows // parts))
@@ -55,8 +52,23 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.Rec
         yield batch.slice(start, size)
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def packed_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with its column ``text`` (bytes) packed, so that dealing texts moves less than half of them."""
+    place, names = df.columns.index(text), df.columns
+    kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in df.schema)
+
+    def shrink(batch):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        columns = list(batch.columns)
+        columns[place] = pa.array([pack(x) for x in columns[place].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return arrow_map(df, shrink, kinds)
+
+
+def unpack(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a packed column."""
+    return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())
 
 
 def digests(keys: Iterable[bytes]):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import line_dedup, packing, secrets, simhash, substring_dedup
+from tideline.llm import line_dedup, packing, secrets, simhash, substring_dedup, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -19,6 +19,11 @@ def op3_line_dedup(spark, sf_dir):
     return line_dedup.digest_rows(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    """How toxic each document is, as learned from the labels outside fold 2."""
+    return toxicity.digest_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark, sf_dir):
     """Fingerprint and group of near duplicates of each document."""
     return simhash.digest_rows(_table(spark, sf_dir, "documents"))
@@ -34,5 +39,5 @@ def op10_packing(spark, sf_dir):
     return packing.digest_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_line_dedup, op8_simhash, op9_substring_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_line_dedup, op6_toxicity, op8_simhash, op9_substring_dedup, op10_packing)}
 ORACLES = {}
