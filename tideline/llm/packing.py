@@ -12,6 +12,7 @@ like any other; rows that repeat are packed each; an empty table gives an empty
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -26,7 +27,7 @@ from tideline.llm.common import arrow_map, partitions, text_bytes
 
 SIZE = 2048
 END_ID = 1
-CACHED = 1 << 18
+CACHED = 1 << 19
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)")
@@ -38,11 +39,26 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _merger(path: str):
+    """An encoder from the ranks of the same vocabulary, if they lie beside it: equal ids in a sixth of the time."""
+    ranks_path = path.removesuffix(".json") + ".tiktoken"
+    if not path.endswith(".json") or not os.path.exists(ranks_path):
+        return None
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The split before the merges never joins what a single space between two visible characters parts, so such chunks are
-    encoded one by one and remembered; texts are mostly repeats of few chunks.
+    encoded one by one and remembered; texts are mostly repeats of few chunks. Chunks of plain Latin letters go through the
+    ranks of the vocabulary; others, whose letter classes depend on a library's Unicode tables, and those that may hold a
+    special token go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -50,11 +66,19 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer = Tokenizer.from_file(path)
+        self._special = tuple(self._tokenizer.get_added_tokens_decoder()[i].content
+                              for i in self._tokenizer.get_added_tokens_decoder())
+        self._merger = _merger(path)
         self._known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _chunk(self, text: str) -> bytes:
+        if self._merger is None or max(text) > "\u024f" or any(token in text for token in self._special):
+            return self._ids(text)
+        return np.array(self._merger.encode_ordinary(text), dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text or _UNEVEN.search(text):
             return self._ids(text)
@@ -63,7 +87,7 @@ class Encoder:
         if len(known) > CACHED:
             known.clear()
         for chunk in set(chunks).difference(known):
-            known[chunk] = self._ids(" " + chunk)
+            known[chunk] = self._chunk(" " + chunk)
         return self._ids(head) + b"".join([known[chunk] for chunk in chunks])
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tideline.llm import line_dedup, packing, secrets, simhash, substring_dedup, toxicity
+from tideline.llm import decontamination, licenses, line_dedup, packing, secrets, simhash, substring_dedup, toxicity, url_filter
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    """Documents that hold benchmark items, and which."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_secrets(spark, sf_dir):
     """Spans of secrets in each document."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
@@ -19,6 +24,16 @@ def op3_line_dedup(spark, sf_dir):
     return line_dedup.digest_rows(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark, sf_dir):
+    """Rule and verdict for each page's URL."""
+    return url_filter.digest_rows(_table(spark, sf_dir, "pages"))
+
+
+def op5_licenses(spark, sf_dir):
+    """The license that each document is, and the license notices it has."""
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
 def op6_toxicity(spark, sf_dir):
     """How toxic each document is, as learned from the labels outside fold 2."""
     return toxicity.digest_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -39,5 +54,5 @@ def op10_packing(spark, sf_dir):
     return packing.digest_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_line_dedup, op6_toxicity, op8_simhash, op9_substring_dedup, op10_packing)}
-ORACLES = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_line_dedup, op4_url_filter, op5_licenses, op6_toxicity, op8_simhash, op9_substring_dedup, op10_packing)}
+ORACLES = {"op5_licenses": licenses.oracle()}
