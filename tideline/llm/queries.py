@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontamination, licenses, line_dedup, packing, secrets, simhash, substring_dedup, toxicity, url_filter
+from tideline.llm import decontamination, licenses, line_dedup, minhash, packing, secrets, simhash, substring_dedup, toxicity, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -39,6 +39,11 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.digest_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_minhash(spark, sf_dir):
+    """Fingerprints of each document and of its edited text."""
+    return minhash.digest_rows(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark, sf_dir):
     """Fingerprint and group of near duplicates of each document."""
     return simhash.digest_rows(_table(spark, sf_dir, "documents"))
@@ -54,5 +59,5 @@ def op10_packing(spark, sf_dir):
     return packing.digest_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_line_dedup, op4_url_filter, op5_licenses, op6_toxicity, op8_simhash, op9_substring_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_line_dedup, op4_url_filter, op5_licenses, op6_toxicity, op7_minhash, op8_simhash, op9_substring_dedup, op10_packing)}
 ORACLES = {"op5_licenses": licenses.oracle()}
