@@ -38,14 +38,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The smallest document of each group of near duplicates."""
     found = simhash.near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("of"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["of"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of ``benchmark``."""
     found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("of"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["of"], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
