@@ -92,9 +92,3 @@ def test_channels(spark):
     assert {r[0]: r[1] for r in analytics.channel_counts(given).collect()} == {"web": 20, "none": 20}
 
 
-def test_layout_sizes(spark, tmp_path):
-    root = str(tmp_path)
-    lake.append_events(events(spark, event_rows(100)), root)
-    sizes = lake.layout_sizes(spark, {"small": f"{root}/events"}).first()
-    files = list(tmp_path.glob("events/dt=*/*.parquet"))
-    assert (sizes["files"], sizes["bytes"]) == (len(files), sum(f.stat().st_size for f in files))

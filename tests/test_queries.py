@@ -35,4 +35,4 @@ def test_entry(spark):
 def test_every_query_has_a_check_or_is_known_to_have_none():
     assert set(spark_entry.oracle_sql()) <= set(NAMES)
     without = {name for name in set(NAMES) - set(spark_entry.oracle_sql()) if not re.match(r"op\d+_|pipeline$", name)}
-    assert without == {"layout_sizes"}
+    assert not without

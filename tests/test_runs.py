@@ -49,6 +49,16 @@ def test_readers(spark, folder):
     assert logs.refresh_log(spark, f"{folder}/*/batchjob.jsonl").count() == 0
 
 
+def test_log_lines_keep_other_spellings(spark, tmp_path):
+    write(tmp_path / "b" / "consumer-7.jsonl", [
+        window(T0, 6), json.dumps(window(T0, 6)).replace('"processed": 6', '"processed": 6.0'), window(T0, 6, e2e_p99_ms="x"),
+        "{broken", "[1]", "", json.dumps(window(T0, 6)).replace('"processed": 6', '"processed": 6e0')])
+    rows = logs.metric_windows(spark, f"{tmp_path}/*/consumer-*.jsonl").collect()
+    assert [r["processed"] for r in rows] == [6, 6, 6, 6]
+    assert {(r["scenario"], r["consumer"]) for r in rows} == {("b", "consumer-7")}
+    assert sum(r["e2e_p99_ms"] is None for r in rows) == 1
+
+
 def test_seconds_and_summary(spark, folder):
     windows = logs.metric_windows(spark, f"{folder}/*/consumer-*.jsonl").where("ts is not null")
     starts = spark.createDataFrame([("a", T0, T0 + 2.0)], "scenario string, t0 double, produce_end double")

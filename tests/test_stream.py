@@ -107,7 +107,7 @@ def test_strict_reader_then_redrive(spark, place):
     one, two = payloads(spark, event_rows(40)), payloads(spark, event_rows(60, first=40), version=2)
     write_messages(spark, place["topic"], [*one, *two])
     run(spark, Ingest(place["store"], run="strict", decoder="strict-v1"), place)
-    letters = store.dead_letters(spark, place["store"]).withColumn("dlq_offset", F.col("source_offset"))
+    letters = store.dead_letters(spark, place["store"])
     assert counts(spark, place)["events"] == 40
     totals = deadletters.inspect_totals(letters).first()
     assert (totals["total"], totals["by_reason"]) == (60, {"schema_mismatch": 60})
@@ -118,12 +118,11 @@ def test_strict_reader_then_redrive(spark, place):
     assert counts(spark, place) == {"events": 100, "stats_total": 100, "mismatched_products": 0}
 
 
-@pytest.mark.parametrize("dedupe", ["days", "watermark"])
-def test_other_ways_to_dedupe(spark, place, dedupe):
+def test_dedupe_by_days(spark, place):
     data = payloads(spark, event_rows(100))
     write_messages(spark, place["topic"], [*data, b"{", *data[:50]])
     write_messages(spark, place["topic"], [*data[20:60], b"["], first_offset=500)
-    run(spark, Ingest(place["store"], run="a", dedupe=dedupe), place, max_files=1)
+    run(spark, Ingest(place["store"], run="a", dedupe="days"), place, max_files=1)
     assert counts(spark, place) == {"events": 100, "stats_total": 100, "mismatched_products": 0}
     assert store.dead_letters(spark, place["store"]).count() == 2
 
@@ -135,19 +134,53 @@ def test_noop_and_lake_sinks(spark, place):
     assert lake.read_events(spark, place["lake"]).count() == 30
 
 
-def test_windowed_counts_stream(spark, place):
-    from tideline.operators import analytics
-
-    events(spark, event_rows(300, step_ms=60_000)).write.parquet(place["topic"])
-    from tideline.tables import EVENTS
-
-    source = spark.readStream.schema(EVENTS).parquet(place["topic"])
-    query = (analytics.windowed_counts(source, "1 hour").writeStream.format("memory").queryName("hours")
-             .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
-    got = {tuple(r) for r in spark.table("hours").collect()}
-    full = {tuple(r) for r in analytics.hourly_counts(events(spark, event_rows(300, step_ms=60_000))).collect()}
-    assert got and got < full
+def test_late_and_far_future_events_are_accounted_for(spark, place):
+    far = raw(event_id="far", produced_at_ms=250_000_000_000_000)
+    write_messages(spark, place["topic"], [*payloads(spark, event_rows(5)), far])
+    run(spark, Ingest(place["store"], run="a"), place)
+    write_messages(spark, place["topic"], [*payloads(spark, event_rows(50, first=100)), *[b"junk"] * 7], first_offset=50)
+    run(spark, Ingest(place["store"], run="a", dedupe="days"), place)
+    assert counts(spark, place) == {"events": 56, "stats_total": 56, "mismatched_products": 0}
+    assert store.dead_letters(spark, place["store"]).count() == 7
+    done = store.commits(spark, place["store"]).agg(F.sum("processed"), F.sum("dlq")).first()
+    assert tuple(done) == (56, 7)
+
+
+def test_lake_keeps_rejected_messages(spark, place):
+    write_messages(spark, place["topic"], [*payloads(spark, event_rows(9)), b"{", None])
+    ingest.start_lake(topics.file_stream(spark, place["topic"]), place["lake"], place["check"]).awaitTermination()
+    letters = store.dead_letters(spark, place["lake"])
+    assert {r["reason"] for r in deadletters.inspect(letters).collect()} == {"invalid_json", "empty_payload"}
+    assert store.commits(spark, place["lake"]).select("processed", "dlq").collect() == [(9, 2)]
+    with pytest.raises(Exception, match="invalid_json"):
+        ingest.start_lake(topics.file_stream(spark, place["topic"]), place["lake"], place["check2"], on_bad="fail").awaitTermination()
+    assert lake.read_events(spark, place["lake"], dedupe=False).count() == 9
+
+
+def test_a_message_diverted_by_two_runs(spark, place):
+    write_messages(spark, place["topic"], payloads(spark, event_rows(3), version=2) + [b"{"])
+    run(spark, Ingest(place["store"], run="z-first", decoder="strict-v1"), place)
+    run(spark, Ingest(place["store"], run="a-second"), place, checkpoint="check2")
+    letters = store.dead_letters(spark, place["store"])
+    assert letters.count() == 5
+    assert {tuple(r) for r in deadletters.inspect(letters).collect()} == {("schema_mismatch", 3), ("invalid_json", 1)}
+    assert deadletters.redrive(letters).count() == 4
+
+
+def test_days_are_utc_in_any_session(spark, place):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    from tideline.functions.columns import event_day
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        days = spark.sql("SELECT timestamp_millis(1704074400000) AS t UNION ALL SELECT timestamp_millis(-1)").select(
+            event_day(F.col("t")).cast("string").alias("d")).collect()
+        assert {r["d"] for r in days} == {"2024-01-01", "1969-12-31"}
+        write_messages(spark, place["topic"], [raw(produced_at_ms=1704074400000)])
+        ingest.start_lake(topics.file_stream(spark, place["topic"]), place["lake"], place["check"]).awaitTermination()
+        assert str(lake.read_events(spark, place["lake"]).first()["dt"]) == "2024-01-01"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def test_dead_letter_headers_round_trip(spark):
@@ -186,5 +219,5 @@ def test_wrong_settings():
     with pytest.raises(ValueError):
         Ingest("x", "r", on_bad="ignore")
     with pytest.raises(ValueError):
-        Ingest("x", "r", dedupe="none")
+        Ingest("x", "r", dedupe="watermark")
     assert issubclass(BadEvent, Exception)

@@ -20,7 +20,6 @@ ROW_GROUP_ROWS = 100_000
 UNSPECIFIED_SHADE = "unspecified"
 UNSPECIFIED_HEX = "#000000"
 UNKNOWN_REASON = "unknown"
-INGREDIENT_TEXT_CHARS = 2000
 
 # --- white space as seen by the text rules (Unicode white space and the four separators) ----------
 SPACE = r"[\s\x1c-\x1f]"

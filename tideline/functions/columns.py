@@ -12,8 +12,8 @@ def event_key(seed: Column, index: Column) -> Column:
 
 
 def event_day(event_ts: Column) -> Column:
-    """UTC day of an event (the session time zone is UTC)."""
-    return F.to_date(event_ts)
+    """UTC day of an event, whatever the time zone of the session."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(event_ts) / F.lit(86_400)).cast("int"))
 
 
 def count_if(condition: Column) -> Column:

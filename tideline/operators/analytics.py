@@ -79,13 +79,3 @@ def freshness(events: DataFrame, now: Column | None = None) -> DataFrame:
     now = F.current_timestamp() if now is None else now
     age = (F.unix_micros(now) - F.unix_micros(F.max("event_ts"))) / 1e6
     return events.agg(age.alias("freshness_s"))
-
-
-def windowed_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Streaming twin of ``hourly_counts``: one row per closed hour and type."""
-    return (
-        events.withWatermark("event_ts", late)
-        .groupBy(F.window("event_ts", "1 hour"), "event_type")
-        .agg(F.count("*").alias("n"))
-        .select(F.unix_timestamp("window.start").alias("hour_epoch"), "event_type", "n")
-    )

@@ -25,14 +25,17 @@ def catalog_filter(export: DataFrame) -> DataFrame:
     return cleaned.where(named & text.is_makeup(F.col("categories_tags"), F.col("product_name")))
 
 
-def catalog_build(export: DataFrame, max_chars: int = fixed.INGREDIENT_TEXT_CHARS) -> DataFrame:
-    """The catalog extract in order of code. The extract keeps ``max_chars`` of an ingredient text."""
+def catalog_build(export: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """The catalog extract in order of code, with whole ingredient texts unless ``max_chars`` bounds them."""
+    ingredients = _trimmed("ingredients_text")
+    if max_chars is not None:
+        ingredients = F.left(ingredients, F.lit(max_chars))
     return (
         catalog_filter(export)
         .select(
             "code", F.col("product_name").alias("name"), F.col("brands").alias("brand"),
             text.best_category(F.col("categories_tags")).alias("category"),
-            F.left(_trimmed("ingredients_text"), F.lit(max_chars)).alias("ingredients_text"),
+            ingredients.alias("ingredients_text"),
         )
         .orderBy("code")
     )

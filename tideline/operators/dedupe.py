@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# ids of a batch are broadcast up to this many bytes; above it the join is shuffled
-BROADCAST_BYTES = 64 << 20
-
 
 def first_delivery(events: DataFrame, order: tuple[str, ...] = ("partition", "offset")) -> DataFrame:
     """One row per event_id: the one with the lowest delivery position.
@@ -22,15 +19,13 @@ def first_delivery(events: DataFrame, order: tuple[str, ...] = ("partition", "of
     )
 
 
-def unseen(batch: DataFrame, stored: DataFrame, batch_bytes: int | None = None) -> DataFrame:
+def unseen(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of a deduplicated batch whose event_id is not stored yet.
 
-    With a measured ``batch_bytes`` (bytes of its ids) below the limit, the ids go to the store instead
-    of the store's ids through a shuffle: the store is read, filtered in place, and only matches move.
+    The stored ids are first reduced to those of the batch; Spark sends the ids of the batch to the store where it measures
+    them as small, so that only matches move.
     """
-    known = stored.select("event_id")
-    if batch_bytes is not None and batch_bytes <= BROADCAST_BYTES:
-        known = known.join(F.broadcast(batch.select("event_id")), "event_id", "left_semi")
+    known = stored.select("event_id").join(batch.select("event_id"), "event_id", "left_semi")
     return batch.join(known, "event_id", "left_anti")
 
 

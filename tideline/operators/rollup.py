@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.columns import count_if
 from tideline.tables import COUNTERS
 
 
-def product_stats(events: DataFrame) -> DataFrame:
+def product_stats(events: DataFrame, *more: Column) -> DataFrame:
     """Counters of the given events per product; a delta when they are the new events of a batch."""
     review = F.col("event_type") == "review"
     return events.groupBy("product_id").agg(
@@ -19,7 +19,7 @@ def product_stats(events: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(review, F.col("rating"))), F.lit(0)).cast("bigint").alias("rating_sum"),
         count_if(F.col("event_type") == "search").alias("search_count"),
         count_if(F.col("event_type") == "view").alias("view_count"),
-        F.max("event_ts").alias("last_event_ts"),
+        F.max("event_ts").alias("last_event_ts"), *more,
     )
 
 
@@ -49,23 +49,16 @@ def mismatches(events: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def stored_total(stored: DataFrame) -> DataFrame:
-    total = F.sum(F.col("review_count") + F.col("search_count") + F.col("view_count"))
-    return stored.agg(F.coalesce(total, F.lit(0)).cast("bigint").alias("stored_total"))
-
-
 def validation_summary(events: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row: number of events, total of the rollup, number of products that do not match."""
+    """One row: number of events, total of the rollup, number of products that do not match.
+
+    The events are read and dealt once: their recount also carries how many there are.
+    """
     zero = F.lit(0).cast("bigint")
-    total = F.col("review_count") + F.col("search_count") + F.col("view_count")
-    counted = events.select(F.lit(1).cast("bigint").alias("events"), zero.alias("total"), zero.alias("wrong"))
-    summed = stored.select(zero.alias("events"), total.alias("total"), zero.alias("wrong"))
-    wrong = mismatches(events, stored).select(
-        zero.alias("events"), zero.alias("total"), F.lit(1).cast("bigint").alias("wrong")
-    )
-    # rows of all three are added up map-side, one row per task is shuffled
-    return counted.unionByName(summed).unionByName(wrong).agg(
-        F.coalesce(F.sum("events"), zero).alias("events"),
-        F.coalesce(F.sum("total"), zero).alias("stats_total"),
-        F.coalesce(F.sum("wrong"), zero).alias("mismatched_products"),
+    recount = product_stats(events, F.count("*").alias("n_events")).alias("r")
+    differs = reduce(lambda a, b: a | b, [~F.col(f"r.{name}").eqNullSafe(F.col(f"p.{name}")) for name in COUNTERS])
+    total = F.col("p.review_count") + F.col("p.search_count") + F.col("p.view_count")
+    return recount.join(stored.alias("p"), F.col("r.product_id") == F.col("p.product_id"), "full_outer").agg(
+        F.coalesce(F.sum("r.n_events"), zero).alias("events"), F.coalesce(F.sum(total), zero).alias("stats_total"),
+        count_if(differs).alias("mismatched_products"),
     )

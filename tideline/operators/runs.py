@@ -23,10 +23,6 @@ def _active(samples: DataFrame, runs: DataFrame) -> DataFrame:
     return timed.where(F.col("t") <= F.col("produce_s") + F.col("drain_s") + 1)
 
 
-def _peak(value: Column) -> Column:
-    return F.coalesce(F.max(value), F.lit(0))
-
-
 def backlog_series(samples: DataFrame, runs: DataFrame) -> DataFrame:
     """Produced but not stored, over time."""
     return _active(samples, runs).select("run", "t", (F.col("produced") - F.col("stored")).alias("backlog"))

@@ -105,14 +105,15 @@ SELECT topic, part_no, max(CASE WHEN value IS NOT NULL AND length(value) < 200 T
 FROM messages GROUP BY topic, part_no
 """
 
-# shade names in six spellings
+# shade names under independent distortions, each of which may meet each other: accents, blanks and signs, remarks, codes
 VIEWS["shades_raw"] = """
 SELECT CAST(p_partkey * 10 AS INT) AS shade_id, CAST(p_partkey AS INT) AS product_id,
- CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name)
-  WHEN 2 THEN concat(replace(lower(p_name), ' ', '-'), ' 07')
-  WHEN 3 THEN concat(p_name, ' (Matte)')
-  WHEN 4 THEN concat('  ', replace(p_name, 'e', 'é'), '  #', CAST(p_partkey % 40 AS {S}))
-  ELSE concat('No. ', CAST(p_partkey % 39 + 1 AS {S}), ' ', p_name) END AS raw_name,
+ concat(
+  CASE WHEN p_partkey % 5 = 2 THEN concat(CAST(100 + p_partkey % 700 AS {S}), ' ') ELSE '' END,
+  CASE WHEN p_partkey % 7 = 3 THEN '(new shade) ' ELSE '' END,
+  translate(CASE WHEN p_partkey % 3 = 1 THEN translate(p_name, 'aou', 'ăőů') ELSE p_name END, ' ', CASE WHEN p_partkey % 4 = 1 THEN '_' ELSE ' ' END),
+  CASE WHEN p_partkey % 11 = 4 THEN ' [limited]' ELSE '' END,
+  CASE WHEN p_partkey % 13 IN (5, 6) THEN concat('   ', CAST(p_partkey % 97 AS {S})) ELSE '' END) AS raw_name,
  '#000000' AS hex
 FROM part
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tideline import fixed_values as fixed
 from tideline.plans.fixtures import with_views
 
 # macro text shared by several checks; {x} is the text to work on
@@ -13,7 +14,7 @@ def _fold(x: str) -> str:
 
 
 def _words(x: str) -> str:
-    return f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '{fixed.WORD_SEPARATORS}', ' ', 'g'))"
 
 
 def _strip(x: str) -> str:
@@ -21,11 +22,11 @@ def _strip(x: str) -> str:
 
 
 def _shade(x: str) -> str:
-    s = f"regexp_replace(lower({_fold(x)}), '\\([^)]*\\)', ' ', 'g')"
-    s = f"trim(regexp_replace({s}, '[^a-z0-9#]+', ' ', 'g'))"
-    s = f"trim(regexp_replace({s}, '#\\s*\\d{{1,3}}', '', 'g'))"
-    s = f"regexp_replace({s}, '^no\\s+\\d{{1,3}}\\s+', '')"
-    s = f"regexp_replace({s}, '\\s+\\d{{1,3}}$', '')"
+    s = f"regexp_replace(lower({_fold(x)}), '{fixed.PARENTHESES}', ' ', 'g')"
+    s = f"trim(regexp_replace({s}, '{fixed.SHADE_SEPARATORS}', ' ', 'g'))"
+    s = f"trim(regexp_replace({s}, '{fixed.SHADE_HASH_CODE}', '', 'g'))"
+    s = f"regexp_replace({s}, '{fixed.SHADE_LEADING_NO}', '')"
+    s = f"regexp_replace({s}, '{fixed.SHADE_TRAILING_CODE}', '')"
     s = f"regexp_replace({s}, '^\\d{{1,3}}\\s+([a-z])', '\\1')"
     s = f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
     return f"coalesce(nullif({s}, ''), {_words(f'lower({x})')})"
@@ -39,11 +40,8 @@ def _key(brand: str, name: str) -> str:
     return f"{_brand(brand)} || '|' || {_words(f'lower({_fold(name)})')}"
 
 
-_MAKEUP = (
-    "makeup|make-up|lipstick|lip-gloss|lip-balm|foundation|mascara|eye-?shadow|eyeliner|nail-polish|blush|"
-    "concealer|face-powder|bronzer|highlighter|eyebrow|lip-liner|rouges?-a-levres|vernis"
-)
-_NOT_MAKEUP = "remover|hair|shampoo|conditioner|soap|shower"
+# without the flags, which DuckDB takes as an argument
+_MAKEUP, _NOT_MAKEUP = (pattern.removeprefix("(?iu)") for pattern in (fixed.MAKEUP, fixed.NOT_MAKEUP))
 
 
 def _is(x: str, pattern: str) -> str:
@@ -184,7 +182,7 @@ SELECT * FROM cleaned WHERE product_name <> '' AND brands <> ''
  AND ({_is('categories_tags', _MAKEUP)} OR {_is('product_name', _MAKEUP)})
  AND NOT ({_is('categories_tags', _NOT_MAKEUP)} OR {_is('product_name', _NOT_MAKEUP)})),
 extract_rows AS (
-SELECT code, product_name AS name, brands AS brand, {_category('categories_tags')} AS category, left({_strip('ingredients_text')}, 2000) AS ingredients_text
+SELECT code, product_name AS name, brands AS brand, {_category('categories_tags')} AS category, {_strip('ingredients_text')} AS ingredients_text
 FROM makeup)"""
 
 
@@ -229,6 +227,13 @@ _EVENT_LIST = "event_id, event_type, product_id, shade_id, user_id, rating, even
 _STAT_LIST = "product_id, review_count, rating_sum, search_count, view_count, last_event_ts"
 
 _oracle("event_key", [], "SELECT event_id, md5('7:' || CAST(event_id AS VARCHAR)) AS event_key FROM events")
+_oracle("encode_v1", ["be"], """SELECT event_id, '{"event_id":"' || event_id || '","event_type":"' || event_type || '","product_id":' || product_id
+ || ',"shade_id":' || shade_id || ',"user_id":' || user_id || ',"rating":' || coalesce(CAST(rating AS VARCHAR), 'null')
+ || ',"produced_at_ms":' || ms || coalesce(',"channel":"' || channel || '"', '') || '}' AS payload FROM be""")
+_oracle("encode_v2", ["be"], """SELECT event_id, '{"schema_version":2,"event_id":"' || event_id || '","event_type":"' || event_type || '","product_id":'
+ || product_id || ',"shade_id":' || shade_id || ',"customer_id":' || user_id || ',"rating":' || coalesce(CAST(rating AS VARCHAR), 'null')
+ || ',"occurred_at_ms":' || ms || ',"channel":"' || coalesce(channel, 'app') || '"}' AS payload FROM be""")
+_oracle("plain_decode", ["deliveries"], f"SELECT {_EVENT_LIST} FROM deduped", _EVENTS)
 _oracle("decode_status", ["messages"], """SELECT pos, CASE WHEN value IS NULL THEN 'empty_payload' WHEN NOT json_valid(value) THEN 'invalid_json'
  WHEN json_type(value) <> 'OBJECT' THEN 'not_an_object' ELSE 'ok' END AS status FROM messages""")
 _oracle("decode_strict", ["messages"], _decoded("strict_reason"), _DECODED)

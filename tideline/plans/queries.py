@@ -65,6 +65,24 @@ def event_key(spark, sf_dir):
     return source.select("event_id", columns.event_key(F.lit(7), F.col("event_id")).alias("event_key"))
 
 
+@query
+def encode_v1(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", payload.encode_v1().alias("payload"))
+
+
+@query
+def encode_v2(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", payload.encode_v2().alias("payload"))
+
+
+@query
+def plain_decode(spark, sf_dir):
+    """Events from their version 1 text, without validation."""
+    texts = _events(spark, sf_dir).select(payload.encode_v1().cast("binary").alias("value"))
+    events = texts.select(payload.plain_v1(F.col("value")).alias("e")).select("e.*")
+    return events.select("event_id", "event_type", "product_id", "shade_id", "user_id", "rating", _plain_time("event_ts"), "channel")
+
+
 @query
 def decode_status(spark, sf_dir):
     return payload.decode_status(_messages(spark, sf_dir)).select("offset", "status").withColumnRenamed("offset", "pos")
@@ -534,8 +552,3 @@ def completion(spark, sf_dir):
     windows = fixture(spark, sf_dir, "db_samples").select("run", F.col("pg_connections").alias("processed"))
     table = fixture(spark, sf_dir, "runs").select("run", F.lit(400).alias("sent"), F.col("stored").alias("target"))
     return metrics.completion(windows, fixture(spark, sf_dir, "db_samples"), table)
-
-
-@query
-def layout_sizes(spark, sf_dir):
-    return lake.layout_sizes(spark, {"tables": sf_dir})

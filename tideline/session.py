@@ -16,8 +16,6 @@ SETTINGS = {
     # state of a stream (ids within a watermark) outgrows executor memory, so it is kept on disk
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # replace only the partitions that a write touches
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -57,7 +55,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return current
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tideline-checkpoints-")
     context.setCheckpointDir(named)

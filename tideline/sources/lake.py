@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline import fixed_values as fixed
 from tideline.functions.columns import event_day
 from tideline.operators.dedupe import one_per_event
+from tideline.session import configure
 from tideline.tables import EVENT_COLUMNS, LAKE_EVENTS
 
 ROWS_PER_FILE = 8_000_000
@@ -20,9 +21,10 @@ def _folder(root: str, compacted: bool) -> str:
 
 
 def append_events(events: DataFrame, root: str) -> None:
-    """Append events to the day folders of the lake."""
+    """Append events to the day folders of the lake, each day in few files; a large day is dealt to several tasks."""
+    configure(events.sparkSession)
     (
-        events.select(*EVENT_COLUMNS, event_day(F.col("event_ts")).alias("dt"))
+        events.select(*EVENT_COLUMNS, event_day(F.col("event_ts")).alias("dt")).hint("rebalance", "dt")
         .write.mode("append").partitionBy("dt").option("compression", "zstd").parquet(_folder(root, False))
     )
 
@@ -54,7 +56,8 @@ def compact(
     raw = read_events(spark, root, dedupe=False)
     if days is not None:
         raw = raw.where(F.col("dt").between(F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date")))
-    before = raw.agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids")).first()
+    counts = compaction_counts(raw).first()
+    before = {"rows": counts["rows_before"], "ids": counts["distinct_before"]}
     files_before = _file_count(raw)
     parts = max(1, -(-before["rows"] // rows_per_file))
     order = ["dt", "product_id", "event_ts", "event_id"]
@@ -89,21 +92,3 @@ def compaction_counts(raw: DataFrame) -> DataFrame:
         F.count("*").alias("distinct_before"),
         F.coalesce(F.sum("days"), zero).alias("rows_after"),
     )
-
-
-def layout_sizes(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """Bytes and number of Parquet files below each folder. Only file listings are read."""
-    def sizes(name: str, folder: str) -> DataFrame:
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet").load(folder)
-        )
-        return files.select(F.lit(name).alias("layout"), "path", "length")
-
-    parts = [sizes(name, folder) for name, folder in folders.items()]
-    everything = parts[0]
-    for part in parts[1:]:
-        everything = everything.unionByName(part)
-    return everything.groupBy("layout").agg(
-        F.sum("length").cast("bigint").alias("bytes"), F.count("*").alias("files")
-    )

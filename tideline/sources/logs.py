@@ -24,20 +24,33 @@ def _run_of_file():
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
 
 
-def _json_lines(spark: SparkSession, schema: T.StructType, path: str, run: str | None) -> DataFrame:
-    names = schema.fieldNames()
+def _name_of_file():
+    return F.regexp_extract("_metadata.file_path", r"([^/]*?)(\.[^/]*)?$", 1)
+
+
+def _field(name: str, kind: T.DataType):
+    """A field of the document: a number in any spelling keeps its value, what is no such value is null."""
+    value = F.try_variant_get("_doc", f"$.{name}", kind.simpleString())
+    if isinstance(kind, T.LongType):
+        value = F.coalesce(value, F.try_variant_get("_doc", f"$.{name}", "double").cast("bigint"))
+    return value.alias(name)
+
+
+def _json_lines(spark: SparkSession, schema: T.StructType, path: str, run: str | None, consumer: str | None = None) -> DataFrame:
+    """Every line that is a JSON object. Only other lines are left out; a field of an other type is null."""
+    named = [(name, column) for name, column in ((run, _run_of_file), (consumer, _name_of_file)) if name]
 
     def read() -> DataFrame:
-        lines = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-        return lines.select(_run_of_file().alias(run), *names) if run else lines
+        lines = spark.read.text(path).select(F.try_parse_json("value").alias("_doc"), *[c().alias(n) for n, c in named])
+        objects = lines.where(F.schema_of_variant("_doc").startswith("OBJECT"))
+        return objects.select(*[n for n, _ in named], *[_field(f.name, f.dataType) for f in schema.fields])
 
-    wanted = T.StructType([T.StructField(run, T.StringType()), *schema.fields]) if run else schema
-    return or_empty(spark, wanted, read)
+    return or_empty(spark, T.StructType([*[T.StructField(n, T.StringType()) for n, _ in named], *schema.fields]), read)
 
 
-def metric_windows(spark: SparkSession, path: str, run: str | None = "scenario") -> DataFrame:
-    """Windows that consumers logged, as JSON lines; malformed lines are dropped. The run is the folder name."""
-    return _json_lines(spark, METRIC_WINDOWS, path, run)
+def metric_windows(spark: SparkSession, path: str, run: str | None = "scenario", consumer: str | None = "consumer") -> DataFrame:
+    """Windows that consumers logged, as JSON lines. The run is the folder name, the consumer the file name."""
+    return _json_lines(spark, METRIC_WINDOWS, path, run, consumer)
 
 
 def samples(spark: SparkSession, path: str, kind: str, run: str | None = "run") -> DataFrame:

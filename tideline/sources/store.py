@@ -26,6 +26,7 @@ from tideline.sources.logs import or_empty
 from tideline.tables import DEAD_LETTERS, LAKE_EVENTS, LONG, PRODUCT_STATS, REAL, TEXT, TIME, extended, schema
 
 COMMITS = schema(committed_at=TIME, processed=LONG, inserted=LONG, dlq=LONG, sink_ms=REAL)
+_STORED_LETTERS = extended(DEAD_LETTERS, diverted_at=TIME)
 _FOLDED = schema(run=TEXT, through=LONG, version=LONG)
 
 
@@ -98,7 +99,9 @@ def events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def dead_letters(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, root, "dead_letters", DEAD_LETTERS).where(progress(spark, root).done())
+    """Dead letters of committed batches; ``dlq_offset`` orders the copies of a message over all runs."""
+    letters = _read(spark, root, "dead_letters", _STORED_LETTERS).where(progress(spark, root).done())
+    return letters.withColumn("dlq_offset", F.struct("diverted_at", "run", "batch_id", "source_offset"))
 
 
 def _stats(spark: SparkSession, root: str, now: Progress) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -26,14 +27,50 @@ class BadEvent(Exception):
     """Raised by the ``fail`` policy. The micro-batch is not committed and its offsets do not advance."""
 
 
+def totals_of(decoded: DataFrame) -> Row:
+    """Counts of a micro-batch, and the days of its events."""
+    return decoded.agg(
+        F.count_if(F.col("reason").isNull()).alias("good"), F.count_if(F.col("reason").isNotNull()).alias("bad"),
+        F.collect_set(event_day(F.col("event_ts"))).alias("days"),
+    ).first()
+
+
+def stop_at_bad(decoded: DataFrame) -> None:
+    """Raise for the first rejected message of a batch."""
+    bad = decoded.where(F.col("reason").isNotNull())
+    worst = bad.orderBy("topic", "partition", "offset").select("reason", "topic", "partition", "offset").first()
+    raise BadEvent(f"{worst['reason']} at {worst['topic']}[{worst['partition']}]@{worst['offset']}")
+
+
+def write_dead_letters(decoded: DataFrame, root: str, run: str, batch_id: int) -> None:
+    """Rejected messages with reason, origin and the time they were diverted."""
+    decoded.where(F.col("reason").isNotNull()).select(
+        F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "reason",
+        F.col("topic").alias("source_topic"), F.col("partition").cast("int").alias("source_partition"),
+        F.col("offset").alias("source_offset"), F.current_timestamp().alias("diverted_at"),
+    ).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+        store.batch_folder(root, "dead_letters", run, batch_id))
+
+
+def write_commit(spark: SparkSession, root: str, run: str, batch_id: int, totals: Row, inserted: int, started: float) -> None:
+    commit = spark.range(1).select(
+        F.current_timestamp().alias("committed_at"),
+        F.lit(totals["good"]).cast("bigint").alias("processed"), F.lit(inserted).cast("bigint").alias("inserted"),
+        F.lit(totals["bad"]).cast("bigint").alias("dlq"),
+        F.lit((time.perf_counter() - started) * 1000.0).alias("sink_ms"),
+    )
+    commit.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+        store.batch_folder(root, "commits", run, batch_id))
+
+
 @dataclass(frozen=True)
 class Ingest:
     """What to do with a micro-batch.
 
     ``on_bad``: ``dlq`` keeps rejected messages with reason and origin, ``skip`` only counts them, ``fail`` stops.
-    ``dedupe``: ``store`` checks new ids against all stored ones (exact, no limit in time); ``days`` against the
-    stored days between the first and the last of the batch (exact while an id keeps its time stamp);
-    ``watermark`` against the ids of the last ``horizon`` only, with bounded state in the stream.
+    ``dedupe``: ``store`` checks new ids against all stored ones (exact, no limit in time); ``days`` against those of the
+    days that the batch has events of (exact while an id keeps its time stamp). No way drops a late event. Two runs that
+    write to one store at the same time can both insert an id; ``store.validate`` counts what is stored.
     """
 
     root: str
@@ -41,30 +78,14 @@ class Ingest:
     decoder: str = "versioned"
     on_bad: str = "dlq"
     dedupe: str = "store"
-    horizon: str = "1 day"
 
     def __post_init__(self) -> None:
         if self.on_bad not in POLICIES:
             raise ValueError(f"unknown policy {self.on_bad!r}, expected one of {POLICIES}")
-        if self.dedupe not in ("store", "days", "watermark"):
+        if self.dedupe not in ("store", "days"):
             raise ValueError(f"unknown dedupe {self.dedupe!r}")
 
     # ------------------------------------------------------------------------------------- stream
-    def transform(self, messages: DataFrame) -> DataFrame:
-        """Decode a stream of messages; with ``watermark`` also drop redelivered ids."""
-        decoded = decode(messages, self.decoder)
-        if self.dedupe != "watermark":
-            return decoded
-        place = F.concat_ws("/", "topic", "partition", "offset")
-        # rejected messages have no id; they are kept apart by where they came from
-        keyed = decoded.withColumns({
-            "_id": F.when(F.col("event_id").isNull(), F.concat(F.lit("@"), place)).otherwise(
-                F.concat(F.lit("#"), F.col("event_id"))
-            ),
-            "_time": F.coalesce("event_ts", "timestamp"),
-        })
-        return keyed.withWatermark("_time", self.horizon).dropDuplicatesWithinWatermark(["_id"]).drop("_id", "_time")
-
     def write_batch(self, decoded: DataFrame, batch_id: int) -> None:
         """Store one micro-batch. Called again for the same batch, it leaves the same result."""
         spark = decoded.sparkSession
@@ -78,38 +99,27 @@ class Ingest:
 
     def _write(self, spark: SparkSession, decoded: DataFrame, batch_id: int) -> None:
         started = time.perf_counter()
-        good = decoded.where(F.col("reason").isNull())
-        bad = decoded.where(F.col("reason").isNotNull())
-        days = event_day(F.col("event_ts"))
-        totals = decoded.agg(
-            F.count_if(F.col("reason").isNull()).alias("good"), F.count_if(F.col("reason").isNotNull()).alias("bad"),
-            F.sum(F.octet_length("event_id") + 16).alias("bytes"),
-            F.min(days).alias("first_day"), F.max(days).alias("last_day"),
-        ).first()
+        totals = totals_of(decoded)
         if self.on_bad == "fail" and totals["bad"]:
-            worst = bad.orderBy("partition", "offset").select("reason", "topic", "partition", "offset").first()
-            raise BadEvent(f"{worst['reason']} at {worst['topic']}[{worst['partition']}]@{worst['offset']}")
+            stop_at_bad(decoded)
 
         def folder(table: str) -> str:
             return store.batch_folder(self.root, table, self.run, batch_id)
 
-        new = dedupe.first_delivery(good.select(*EVENT_COLUMNS, "partition", "offset")).select(*EVENT_COLUMNS)
-        if self.dedupe != "watermark":
-            known = store.events(spark, self.root)
-            if self.dedupe == "days":
-                known = known.where(F.col("dt").between(F.lit(totals["first_day"]), F.lit(totals["last_day"])))
-            new = dedupe.unseen(new, known, totals["bytes"] or 0)
+        good = decoded.where(F.col("reason").isNull()).select(*EVENT_COLUMNS, "topic", "partition", "offset")
+        new = dedupe.first_delivery(good, ("topic", "partition", "offset")).select(*EVENT_COLUMNS)
+        known = store.events(spark, self.root)
+        if self.dedupe == "days":
+            # the days of a batch are few; their folders are the only ones that are read
+            known = known.where(F.col("dt").isin(totals["days"]) if totals["days"] else F.lit(False))
+        new = dedupe.unseen(new, known)
         (
-            new.withColumn("dt", event_day(F.col("event_ts")))
+            new.withColumn("dt", event_day(F.col("event_ts"))).hint("rebalance", "dt")
             .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("dt")
             .option("compression", "zstd").parquet(folder("events"))
         )
         if self.on_bad == "dlq" and totals["bad"]:
-            bad.select(
-                F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "reason",
-                F.col("topic").alias("source_topic"), F.col("partition").cast("int").alias("source_partition"),
-                F.col("offset").alias("source_offset"),
-            ).write.mode("overwrite").parquet(folder("dead_letters"))
+            write_dead_letters(decoded, self.root, self.run, batch_id)
         # from the files just written, so that rollup and events cannot differ
         written = or_empty(
             spark, new.schema, lambda: spark.read.schema(new.schema).parquet(folder("events"))
@@ -119,36 +129,52 @@ class Ingest:
         inserted = spark.read.parquet(folder("deltas")).agg(
             F.coalesce(F.sum(F.col("review_count") + F.col("search_count") + F.col("view_count")), F.lit(0))
         ).first()[0]
-        commit = spark.range(1).select(
-            F.current_timestamp().alias("committed_at"),
-            F.lit(totals["good"]).cast("bigint").alias("processed"), F.lit(inserted).cast("bigint").alias("inserted"),
-            F.lit(totals["bad"]).cast("bigint").alias("dlq"),
-            F.lit((time.perf_counter() - started) * 1000.0).alias("sink_ms"),
-        )
-        commit.coalesce(1).write.mode("overwrite").parquet(folder("commits"))
+        write_commit(spark, self.root, self.run, batch_id, totals, inserted, started)
 
     def start(self, messages: DataFrame, checkpoint: str, interval: str | None = None) -> StreamingQuery:
         """Run the stream. Without an ``interval`` it takes what is there now and stops."""
         configure(messages.sparkSession)
         trigger = {"processingTime": interval} if interval else {"availableNow": True}
         return (
-            self.transform(messages).writeStream.foreachBatch(self.write_batch)
+            decode(messages, self.decoder).writeStream.foreachBatch(self.write_batch)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start()
         )
 
 
 def start_noop(messages: DataFrame, checkpoint: str, decoder: str = "versioned") -> StreamingQuery:
     """Decode and discard: the ceiling of source and decoder."""
+    configure(messages.sparkSession)
     return (
         decode(messages, decoder).writeStream.format("noop")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def start_lake(messages: DataFrame, root: str, checkpoint: str, decoder: str = "versioned") -> StreamingQuery:
-    """Append valid events to the lake, at least once; the lake deduplicates on read."""
+def start_lake(messages: DataFrame, root: str, checkpoint: str, decoder: str = "versioned", on_bad: str = "dlq",
+               run: str = "lake") -> StreamingQuery:
+    """Append valid events to the lake, at least once; the lake deduplicates on read.
+
+    Rejected messages follow ``on_bad`` as in ``Ingest``: ``dlq`` keeps them in ``dead_letters`` beside the lake's events,
+    ``skip`` only counts them, ``fail`` stops before anything of the batch is appended. Each batch leaves a commit with its
+    counts, read with ``store.commits`` and ``store.dead_letters``.
+    """
+    if on_bad not in POLICIES:
+        raise ValueError(f"unknown policy {on_bad!r}, expected one of {POLICIES}")
+    configure(messages.sparkSession)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        lake.append_events(batch.where(F.col("reason").isNull()), root)
+        started = time.perf_counter()
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            totals = totals_of(batch)
+            if on_bad == "fail" and totals["bad"]:
+                stop_at_bad(batch)
+            if on_bad == "dlq" and totals["bad"]:
+                write_dead_letters(batch, root, run, batch_id)
+            lake.append_events(batch.where(F.col("reason").isNull()), root)
+            write_commit(batch.sparkSession, root, run, batch_id, totals, totals["good"], started)
+        finally:
+            batch.unpersist()
 
     return (
         decode(messages, decoder).writeStream.foreachBatch(write)
@@ -167,12 +193,21 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         progress = event.progress
-        behind = [source.metrics.get("maxOffsetsBehindLatest") for source in progress.sources]
-        known = [int(value) for value in behind if value is not None]
+        known = [lag for lag in map(self._behind, progress.sources) if lag is not None]
         self.latest[str(progress.id)] = {
             "batch_id": progress.batchId, "rows": progress.numInputRows,
-            "rows_per_second": progress.processedRowsPerSecond, "lag": max(known) if known else None,
+            "rows_per_second": progress.processedRowsPerSecond, "lag": sum(known) if known else None,
         }
 
+    @staticmethod
+    def _behind(source) -> int | None:
+        """Messages that a source has not read, over all partitions of all its topics; else as its metrics estimate."""
+        try:
+            ends, latest = json.loads(source.endOffset), json.loads(source.latestOffset)
+            return sum(max(0, n - ends.get(topic, {}).get(part, 0)) for topic, parts in latest.items() for part, n in parts.items())
+        except (TypeError, ValueError, AttributeError):
+            value = source.metrics.get("maxOffsetsBehindLatest")
+            return None if value is None else int(value)
+
     def onQueryTerminated(self, event) -> None:
         self.latest.pop(str(event.id), None)
