@@ -3,8 +3,7 @@
 Accents are folded character by character: the compatibility decomposition (NFKD) of a character,
 without its combining marks.  Each rule below keeps only ``a-z``, ``0-9`` and a few signs after folding,
 so a character matters only if its fold contains ASCII or is empty.  That set is small enough for
-``translate``, which keeps the rules inside the JVM.  ``fold_accents`` folds every character there is and
-needs Python for it.
+``translate``, which keeps the rules inside the JVM.  ``fold_accents`` folds every character there is, in the JVM as well.
 """
 
 from __future__ import annotations
@@ -15,10 +14,8 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tideline import fixed_values as fixed
 
@@ -27,39 +24,29 @@ def _fold(text: str) -> str:
     return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
 
 
-def _series_fold():
-    # a local function travels to the executors by value, so they need no copy of this package
-    def fold(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None or text.isascii():
-                return text
-            return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+# Hangul syllables decompose by arithmetic: 19 leads, 21 vowels, 28 tails of which the first is none
+_SYLLABLES = range(0xAC00, 0xD7A4)
+_LEADS, _VOWELS, _TAILS = range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A7, 0x11C3)
 
-        return texts.map(one)
 
-    return fold
+@lru_cache(maxsize=2)
+def _folds(ascii_only: bool) -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one other character or to nothing, and those that fold to several.
 
-
-def fold_accents(text: Column | str) -> Column:
-    """Fold accents and compatibility forms of arbitrary text."""
-    return F.pandas_udf(_series_fold(), T.StringType())(text)
-
-
-@lru_cache(maxsize=1)
-def _ascii_folds() -> tuple[str, str, dict[str, str]]:
-    """Characters that fold to one ASCII character or to nothing, and those that fold to several."""
+    With ``ascii_only`` just those whose fold contains ASCII or is empty. Hangul syllables are left out.
+    """
     single, target, dropped, several = [], [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         if unicodedata.combining(char):
             dropped.append(char)
             continue
-        if not unicodedata.decomposition(char):
+        if code in _SYLLABLES or not unicodedata.decomposition(char):
             continue
         folded = _fold(char)
         if folded == "":
             dropped.append(char)
-        elif re.search(r"[\x00-\x7f]", folded) is None:
+        elif ascii_only and re.search(r"[\x00-\x7f]", folded) is None:
             continue
         elif len(folded) == 1:
             single.append(char)
@@ -69,28 +56,49 @@ def _ascii_folds() -> tuple[str, str, dict[str, str]]:
     return "".join(single + dropped), "".join(target), several
 
 
-def fold_to_ascii(text: Column) -> Column:
-    """Fold every character whose fold contains ASCII or is empty; all others stay as they are."""
-    source, target, several = _ascii_folds()
+def _folded(text: Column, ascii_only: bool) -> Column:
+    source, target, several = _folds(ascii_only)
     # one literal each for keys and values; the map is built when the plan is optimized
     between = "\x00"
     expansions = F.map_from_arrays(
         F.split(F.lit(between.join(several)), between), F.split(F.lit(between.join(several.values())), between)
     )
-    expanded = F.array_join(
-        F.transform(
-            F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
-            lambda char: F.coalesce(F.try_element_at(expansions, char), char),
-        ),
-        "",
-    )
+
+    def one(char: Column) -> Column:
+        return F.coalesce(F.try_element_at(expansions, char), char)
+
     # looking for one of them by lookup, which a pattern with hundreds of alternatives would not be
     rare = F.char_length(F.translate(text, "".join(several), "")) < F.char_length(text)
+    if not ascii_only:
+        lists = [F.split(F.lit("\x00".join(map(chr, codes))), "\x00") for codes in (_LEADS, _VOWELS, _TAILS)]
+
+        def syllable(char: Column) -> Column:
+            place = F.ascii(char) - _SYLLABLES.start
+            tail = F.pmod(place, F.lit(28))
+            parts = [F.get(lists[0], F.floor(place / 588).cast("int")),
+                     F.get(lists[1], F.floor(F.pmod(place, F.lit(588)) / 28).cast("int")),
+                     F.when(tail > 0, F.get(lists[2], tail)).otherwise("")]
+            return F.when(F.ascii(char).between(_SYLLABLES.start, _SYLLABLES.stop - 1), F.concat(*parts)).otherwise(one(char))
+
+        rare = rare | text.rlike("[\uac00-\ud7a3]")
+    expanded = F.array_join(
+        F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one if ascii_only else syllable), ""
+    )
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(
         F.translate(F.when(rare, expanded).otherwise(text), source, target)
     )
 
 
+def fold_accents(text: Column | str) -> Column:
+    """Fold accents and compatibility forms of arbitrary text."""
+    return _folded(F.col(text) if isinstance(text, str) else text, ascii_only=False)
+
+
+def fold_to_ascii(text: Column) -> Column:
+    """Fold every character whose fold contains ASCII or is empty; all others stay as they are."""
+    return _folded(text, ascii_only=True)
+
+
 def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, fixed.WORD_SEPARATORS, " "))
 
