@@ -52,6 +52,25 @@ def test_with_next_crosses_partitions_and_stays_in_its_group(spark):
     assert got == expected
 
 
+def test_ranks_of_any_sign_and_size(spark):
+    rng = random.Random(5)
+    values = [0.0, -0.0, 1e-300, -1e300, 1e300, float("inf"), *[rng.choice((-1, 1)) * 10 ** rng.uniform(-9, 9) for _ in range(700)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    quantiles = {f"q{i}": i / 20 for i in range(20)}
+    got = ordering.nearest_rank(df, [], "v", {**quantiles, "last": lambda n: n - 1}).first()
+    assert [got[name] for name in quantiles] == [rank(values, q) for q in quantiles.values()]
+    assert got["last"] == float("inf")
+
+
+def test_nothing_runs_while_plans_are_built(spark):
+    df = spark.range(100).selectExpr("'g' AS g", "cast(id AS double) AS v")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    ordering.nearest_rank(df, ["g"], "v", {"p50": 0.5})
+    ordering.with_next(df, ["g"], ["v"], ["v"])
+    assert len(tracker.getJobIdsForGroup(None)) == before
+
+
 def test_dense_position(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("string").alias("code")).repartition(7)
     got = [(r["code"], r["id"]) for r in ordering.dense_position(df, ["code"], "id").orderBy("id").collect()]

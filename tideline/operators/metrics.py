@@ -138,6 +138,11 @@ def worst_p99(windows: DataFrame, starts: DataFrame, run: str = "scenario") -> D
     )
 
 
+def peak_p99(windows: DataFrame, starts: DataFrame, run: str = "scenario") -> DataFrame:
+    """The worst p99 of each run, in seconds."""
+    return worst_p99(windows, starts, run).groupBy(run).agg(F.max("p99_s").alias("peak_p99_s"))
+
+
 def call_summary(calls: DataFrame, group: str, value: str = "ms", events: str = "events") -> DataFrame:
     """Timed writes per group: number, total, mean, p50, p99 and events per second of sink time."""
     totals = calls.groupBy(group).agg(
@@ -153,16 +158,12 @@ def call_summary(calls: DataFrame, group: str, value: str = "ms", events: str =
 
 def query_times(samples: DataFrame, group: str, value: str = "ms", order: str = "seq") -> DataFrame:
     """Timed repeats of a query per group: median (mean of the middle two), fastest, first."""
-    # the middle two values of n: nearest rank at n/2, and at the largest share below it
     counted = samples.groupBy(group).agg(
         F.count("*").alias("n"), F.min(value).alias("min_ms"), F.min_by(value, order).alias("first_ms")
     )
-    upper = nearest_rank(samples, [group], value, {"upper": 0.5})
-    negated = samples.select(group, (-F.col(value)).alias(value))
-    lower = nearest_rank(negated, [group], value, {"lower": 0.5})
-    middle = (F.col("upper") - F.col("lower")) / 2
-    return counted.join(upper, group).join(lower, group).select(
-        group, "n", middle.alias("median_ms"), "min_ms", "first_ms"
+    middle = nearest_rank(samples, [group], value, {"upper": 0.5, "lower": lambda n: F.floor((n - 1) / 2)})
+    return counted.join(middle, group).select(
+        group, "n", ((F.col("upper") + F.col("lower")) / 2).alias("median_ms"), "min_ms", "first_ms"
     )
 
 

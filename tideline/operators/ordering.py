@@ -1,14 +1,14 @@
 """Order-dependent operators that never sort one group, or the whole table, in one task.
 
-``repartitionByRange`` deals sorted rows to partitions of similar size, however large a single group
-is.  Work inside a partition is local; what crosses a border is one small row per partition.
+Rows are cut by value: into stretches of an order column, or into magnitudes of what is ranked. Work inside a cut is local,
+and one small row per cut goes further. Only ``dense_position`` numbers a whole table, and pins its numbering for that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.session import pinned
@@ -46,56 +46,64 @@ def dense_position(df: DataFrame, order: Sequence[str], name: str = "position")
     )
 
 
-def with_next(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Add ``next_<column>``: the value in the following row of the same group, null in its last row."""
-    keys = [*group, *order]
-    follow = [*group, *columns]
-    placed = in_order(df, [*keys, *[c for c in columns if c not in keys]])
-    inside = Window.partitionBy("_part").orderBy("_pos")
-    row = F.struct(*[F.col(c) for c in follow])
-    # the first row of every partition of the sort also follows the last row of the one before it
-    heads = placed.where(F.col("_pos") == 0).select("_part", row.alias("_head"))
-    borders = heads.select(
-        F.lag("_part").over(Window.orderBy("_part")).alias("_part"), "_head"
-    ).where(F.col("_part").isNotNull())
-    linked = placed.withColumn("_lead", F.lead(row).over(inside)).join(F.broadcast(borders), "_part", "left")
-    linked = linked.withColumn("_next", F.coalesce("_lead", "_head"))
-    same = F.lit(True)
+def with_next(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], width: float = 600.0) -> DataFrame:
+    """Add ``next_<column>``: the value in the following row of the same group, null in its last row.
+
+    The first column of ``order`` is a number. Rows meet in stretches of ``width`` of it, so a group of any share is spread
+    over its length; what crosses from one stretch to the next is one row, its first.
+    """
+    group, rest = list(group), [c for c in columns if c not in order]
+    row = F.struct(*order, *rest)
+    cut = df.withColumn("_stretch", F.floor(F.col(order[0]) / F.lit(width)))
+    heads = cut.groupBy(*group, "_stretch").agg(F.min(row).alias("_own"))
+    heads = heads.withColumn("_head", F.lead("_own").over(Window.partitionBy(*group).orderBy("_stretch")))
+    heads = heads.select(*[F.col(name).alias(f"_of_{name}") for name in group], F.col("_stretch").alias("_at"), "_head")
+    inside = Window.partitionBy(*group, "_stretch").orderBy(*order, *rest)
+    linked = cut.withColumn("_lead", F.lead(row).over(inside))
+    same = F.col("_stretch").eqNullSafe(F.col("_at"))
     for name in group:
-        same = same & F.col(name).eqNullSafe(F.col("_next")[name])
-    return linked.withColumns({
-        f"next_{name}": F.when(same, F.col("_next")[name]) for name in columns
-    }).drop("_part", "_pos", "_lead", "_head", "_next")
+        same = same & F.col(name).eqNullSafe(F.col(f"_of_{name}"))
+    following = F.coalesce("_lead", "_head")
+    return linked.join(heads, same, "left").select(
+        *df.columns, *[following[name].alias(f"next_{name}") for name in columns]
+    )
+
+
+def _magnitude(value: str) -> Column:
+    """A whole number that does not fall where ``value`` rises; values within a quarter of a percent share one."""
+    v = F.col(value).cast("double")
+
+    def size(x: Column) -> Column:
+        return F.floor(F.least(F.ln(x), F.lit(1000.0)) * 256) + 300_000
 
+    return F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(F.lit(0).cast("bigint"))
 
-def nearest_rank(df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact percentiles per group: the sorted value at index ``min(n - 1, floor(q * n))``.
 
-    Equal values are counted before they travel, and the distinct values of a group are spread over
-    partitions by value, so one group may hold any share of the rows.  Group columns must not be null.
+def nearest_rank(
+    df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float | Callable[[Column], Column]]
+) -> DataFrame:
+    """Exact percentiles per group: the sorted value at index ``min(n - 1, floor(q * n))``, or at that of a function of n.
+
+    Equal values are counted before they travel. Counts per magnitude say in which magnitude an index lies, and only the
+    values of that one are ranked, so one group may hold any share of the rows. Group columns must not be null.
     """
     group = list(group)
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    placed = in_order(counted, [*group, value])
-    shares = placed.groupBy(*group, "_part").agg(F.sum("_n").alias("_share"))
-    # at most one row per partition in every group
-    parts = Window.partitionBy(*group).orderBy("_part") if group else Window.orderBy("_part")
-    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    shares = shares.select(
-        *group, "_part",
-        (F.sum("_share").over(parts) - F.col("_share")).alias("_before"),
-        F.sum("_share").over(whole).alias("_total"),
-    )
-    inside = Window.partitionBy(*group, "_part").orderBy("_pos")
-    ranked = (
-        placed.withColumn("_to", F.sum("_n").over(inside))
-        .join(shares, [*group, "_part"])
-        .withColumn("_to", F.col("_before") + F.col("_to"))
-        .withColumn("_from", F.col("_to") - F.col("_n"))
-    )
-
-    def at(q: float):
-        index = F.least(F.col("_total") - 1, F.floor(F.lit(float(q)) * F.col("_total")))
-        return F.max(F.when((F.col("_from") <= index) & (index < F.col("_to")), F.col(value)))
-
-    return ranked.groupBy(*group).agg(*[at(q).alias(name) for name, q in quantiles.items()])
+    counted = counted.withColumn("_bucket", _magnitude(value))
+    shares = counted.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_share"))
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = shares.withColumns({"_to": F.sum("_share").over(upto), "_total": F.sum("_share").over(whole)})
+    total = F.col("_total")
+    places = [
+        F.struct(F.lit(name).alias("name"), (q(total) if callable(q) else F.least(total - 1, F.floor(F.lit(float(q)) * total)))
+                 .cast("bigint").alias("index")) for name, q in quantiles.items()
+    ]
+    wanted = shares.select(*group, "_bucket", (F.col("_to") - F.col("_share")).alias("_before"), "_to",
+                           F.explode(F.array(*places)).alias("_place"))
+    wanted = wanted.where("_before <= _place.index and _place.index < _to").select(
+        *group, "_bucket", F.col("_place.name").alias("_name"), (F.col("_place.index") - F.col("_before")).alias("_index"))
+    inside = Window.partitionBy(*group, "_bucket", "_name").orderBy(value)
+    ranked = counted.join(wanted, [*group, "_bucket"]).withColumn("_upto", F.sum("_n").over(inside))
+    found = ranked.where("_upto - _n <= _index and _index < _upto")
+    return found.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in quantiles])

@@ -345,6 +345,7 @@ LEFT JOIN (SELECT run, min(t) AS peak_t FROM (SELECT *, max(produced - stored) O
 LEFT JOIN (SELECT run, t, produced - stored AS backlog FROM active) b ON b.run = k.run AND b.backlog < 1000 AND b.t > k.kill_t + 1 AND b.t > p.peak_t
 GROUP BY k.run""", _ACTIVE)
 _oracle("worst_p99", ["metric_windows", "scenarios"], "SELECT scenario, second, p99_ms / 1000 AS p99_s FROM per_second", _SECONDS)
+_oracle("peak_p99", ["metric_windows", "scenarios"], "SELECT scenario, max(p99_ms) / 1000 AS peak_p99_s FROM per_second GROUP BY scenario", _SECONDS)
 _oracle("reconcile", ["runs"], """SELECT run, sent, stored, dead, coalesce(redriven, 0) AS redriven, sent - (stored + dead - coalesce(redriven, 0)) AS missing FROM runs""")
 _oracle("compare_runs", ["runs"], """SELECT coalesce(a.run, b.run) AS run, CASE WHEN a.run IS NULL THEN 'not run' ELSE 'run' END AS a_outcome, a.sent AS a_sent, a.stored AS a_stored, a.dead AS a_dead,
  CASE WHEN b.run IS NULL THEN 'not run' ELSE 'run' END AS b_outcome, b.sent AS b_sent, b.stored AS b_stored, b.dead AS b_dead

@@ -523,6 +523,11 @@ def worst_p99(spark, sf_dir):
     return metrics.worst_p99(fixture(spark, sf_dir, "metric_windows"), fixture(spark, sf_dir, "scenarios"))
 
 
+@query
+def peak_p99(spark, sf_dir):
+    return metrics.peak_p99(fixture(spark, sf_dir, "metric_windows"), fixture(spark, sf_dir, "scenarios"))
+
+
 @query
 def reconcile(spark, sf_dir):
     return runs.reconcile(fixture(spark, sf_dir, "runs"))
