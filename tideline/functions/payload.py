@@ -130,13 +130,19 @@ def _step(df: DataFrame, keep: list[str], columns: list) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*columns))))
 
 
-def decode(df: DataFrame, decoder: str = "versioned", value: str = "value") -> DataFrame:
+def decode(df: DataFrame, decoder: str = "versioned", value: str = "value", both: bool = False) -> DataFrame:
     """``df`` with the eight event columns and ``reason``.
 
     ``versioned`` reads versions 1 and 2.  ``strict-v1`` takes only documents with exactly the seven
     version 1 fields and calls all others ``schema_mismatch``.  Event columns are null where a
     reason is set.  Columns of ``df`` with the name of an event column are replaced.
 
+    With ``both``, ``versioned`` adds ``strict_reason``, the reason of ``strict-v1``, from the same parsed document: a document
+    with exactly the version 1 fields is judged alike by both.
+
+    Texts that only some JSON parsers take are not JSON here: a bare NaN or Infinity, and UTF-16. An ``event_type`` that is a
+    list or an object is an unknown type.
+
     The rules are laid out in two halves of moderate size, see :func:`_step`.
     """
     if decoder not in DECODERS:
@@ -149,13 +155,15 @@ def decode(df: DataFrame, decoder: str = "versioned", value: str = "value") -> D
         "_status": _status(value),
         "_wire": F.col("_doc").try_cast("struct<" + ",".join(f"{name}:variant" for name in _WIRE) + ">"),
     })
+    names = F.array_sort(F.map_keys(F.col("_doc").try_cast("map<string,variant>")))
+    exact = F.coalesce(names == F.array(*[F.lit(name) for name in sorted(fixed.V1_FIELDS)]), F.lit(False))
     if strict:
-        names = F.array_sort(F.map_keys(F.col("_doc").try_cast("map<string,variant>")))
-        exact = names == F.array(*[F.lit(name) for name in sorted(fixed.V1_FIELDS)])
-        mismatch = F.when(~F.coalesce(exact, F.lit(False)), "schema_mismatch")
+        mismatch = F.when(~exact, "schema_mismatch")
         parsed = parsed.withColumns({"_status": F.coalesce("_status", mismatch), "_v": F.lit(1)})
     else:
         parsed = parsed.withColumn("_v", _version())
+        if both:
+            parsed = parsed.withColumn("_exact", exact)
     two = F.col("_v") == 2
 
     def either(new: Column, old: Column) -> Column:
@@ -246,4 +254,7 @@ def decode(df: DataFrame, decoder: str = "versioned", value: str = "value") -> D
         "channel": valid(F.when(two, F.col("_t_channel"))),
         "reason": F.col("_reason"),
     }
+    if both and not strict:
+        alike = F.col("_exact") | F.col("_status").isNotNull()
+        event["strict_reason"] = F.when(alike, F.col("_reason")).otherwise("schema_mismatch")
     return _step(judged, keep, [column.alias(name) for name, column in event.items()])

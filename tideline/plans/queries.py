@@ -114,11 +114,10 @@ def decode_reasons(spark, sf_dir):
 @query
 def route_counts(spark, sf_dir):
     """Messages per decoder and per partition that are stored, and that go to the dead letters."""
-    parts = [
-        payload.decode(_messages(spark, sf_dir), decoder).select(F.lit(decoder).alias("decoder"), "partition", "reason")
-        for decoder in payload.DECODERS
-    ]
-    return parts[0].unionByName(parts[1]).groupBy("decoder", F.col("partition").alias("part_no")).agg(
+    decoded = payload.decode(_messages(spark, sf_dir), both=True)
+    judged = F.array(*[F.struct(F.lit(decoder).alias("decoder"), F.col(reason).alias("reason"))
+                       for decoder, reason in zip(payload.DECODERS, ("strict_reason", "reason"), strict=True)])
+    return decoded.select("partition", F.inline(judged)).groupBy("decoder", F.col("partition").alias("part_no")).agg(
         columns.count_if(F.col("reason").isNull()).alias("stored"),
         columns.count_if(F.col("reason").isNotNull()).alias("dead_letters"),
     )
@@ -127,9 +126,7 @@ def route_counts(spark, sf_dir):
 @query
 def outcome_counts(spark, sf_dir):
     """Sent, valid, valid for a version 1 reader, version 2 and bad messages."""
-    both = payload.decode(
-        payload.decode(_messages(spark, sf_dir), "strict-v1").withColumn("strict_reason", F.col("reason")), "versioned"
-    )
+    both = payload.decode(_messages(spark, sf_dir), both=True)
     valid, strict = F.col("reason").isNull(), F.col("strict_reason").isNull()
     return both.agg(
         F.count("*").alias("sent"), columns.count_if(valid).alias("valid"), columns.count_if(strict).alias("v1_valid"),
