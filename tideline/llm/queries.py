@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from tideline.llm import decontamination, licenses, line_dedup, minhash, packing, secrets, simhash, substring_dedup, toxicity, url_filter
+from tideline.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _table(spark, sf_dir, name):
@@ -60,4 +63,3 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_line_dedup, op4_url_filter, op5_licenses, op6_toxicity, op7_minhash, op8_simhash, op9_substring_dedup, op10_packing)}
-ORACLES = {"op5_licenses": licenses.oracle()}
