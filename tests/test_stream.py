@@ -4,7 +4,7 @@ import pytest
 from helpers import event_rows, events, payloads, raw, summary, write_messages
 from pyspark.sql import functions as F
 
-from tideline.operators import deadletters, rollup
+from tideline.operators import deadletters, metrics, rollup
 from tideline.sources import lake, store, topics
 from tideline.streaming import ingest
 from tideline.streaming.ingest import BadEvent, Ingest
@@ -167,6 +167,15 @@ def test_a_message_diverted_by_two_runs(spark, place):
     assert deadletters.redrive(letters).count() == 4
 
 
+def test_the_store_feeds_the_ingest_windows(spark, place):
+    write_messages(spark, place["topic"], [*payloads(spark, event_rows(30)), b"{", b"["])
+    write_messages(spark, place["topic"], payloads(spark, event_rows(20, first=40)), first_offset=90)
+    run(spark, Ingest(place["store"], run="a"), place, max_files=1)
+    windows = metrics.ingest_windows(*store.ingest_inputs(spark, place["store"]))
+    got = windows.agg(F.sum("processed"), F.sum("dlq"), F.sum("sink_calls"), F.min("e2e_p50_ms")).first()
+    assert tuple(got)[:3] == (50, 2, 2) and got[3] >= 0
+
+
 def test_days_are_utc_in_any_session(spark, place):
     before = spark.conf.get("spark.sql.session.timeZone")
     from tideline.functions.columns import event_day

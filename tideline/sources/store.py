@@ -141,6 +141,16 @@ def fold(spark: SparkSession, root: str, rows_per_file: int = ROWS_PER_FILE) ->
     return new
 
 
+def ingest_inputs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``metrics.ingest_windows`` takes: stored events, rejected messages and batches, each with its time.
+
+    An event counts when its batch was committed. Batches whose commit was deleted after a fold are left out.
+    """
+    done = commits(spark, root).select("run", "batch_id", F.col("committed_at").alias("at"), F.col("sink_ms").alias("ms"))
+    stored = events(spark, root).join(done, ["run", "batch_id"]).select("at", "event_ts")
+    return stored, dead_letters(spark, root).select(F.col("diverted_at").alias("at")), done.select("at", "ms")
+
+
 def validate(spark: SparkSession, root: str) -> DataFrame:
     """Events, rollup total and products whose rollup does not match a recount."""
     return rollup.validation_summary(events(spark, root), product_stats(spark, root))
