@@ -39,8 +39,8 @@ THRESHOLD = 0.3
 CLEAR = 2.0
 #: words of no evidence that each text is given, so that a few words alone do not decide
 WEIGHT = 3
-CACHED = 1 << 18
-TEXT_BYTES = 4 << 20
+CACHED = 1 << 17
+TEXT_BYTES = 1 << 20
 START, END = "\x02", "\x03"
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡*_-–—"
 
@@ -184,7 +184,8 @@ def _counted(texts: DataFrame, labels: DataFrame) -> DataFrame:
             [pa.array(list(merged), pa.string()), *[pa.array([x[i] for x in merged.values()], pa.int64()) for i in (0, 1)]],
             ["word", "toxic", "plain"])
 
-    learned = packed_texts(texts).join(labels, F.col("id") == F.col("of")).select("text", "label")
+    # by sort and merge whatever the sizes: labels grow with the texts, so sending them to all tasks only works for a while
+    learned = packed_texts(texts).join(labels.hint("merge"), F.col("id") == F.col("of")).select("text", "label")
     rows = arrow_map(learned, count, "word string, toxic long, plain long", TEXT_BYTES)
     return rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
@@ -284,6 +285,7 @@ def learn(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
     held = texts.join(F.broadcast(sample), F.col("id") == F.col("of")).select("text", "label")
     points = arrow_map(held, measured, "x array<double>, label int", TEXT_BYTES).toArrow()
+    shared.destroy()
     y = points.column("label").to_numpy()
     if len(set(y.tolist())) == 2:
         model.weights = _curve(np.array(points.column("x").to_pylist()), y)
