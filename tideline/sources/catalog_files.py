@@ -10,11 +10,15 @@ from tideline.sources import dimensions
 from tideline.tables import CATALOG_EXPORT, CATALOG_EXTRACT
 
 
-def product_export(spark: SparkSession, path: str) -> DataFrame:
-    """The five columns used of a tab-separated export with a header, quoted text and very long fields."""
+def product_export(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The five columns used of a tab-separated export with a header, quoted text and very long fields.
+
+    With ``multi_line`` quoted fields may hold line ends, and each file is read by one task. An export without such fields
+    is read in as many tasks as its size asks for with ``multi_line=False``.
+    """
     export = (
         spark.read.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"')
-        .option("multiLine", "true").option("maxCharsPerColumn", "-1").option("inferSchema", "false")
+        .option("multiLine", str(multi_line).lower()).option("maxCharsPerColumn", "-1").option("inferSchema", "false")
         .csv(path)
     )
     return export.select(*CATALOG_EXPORT)
