@@ -3,13 +3,14 @@ import json
 
 from pyspark.sql import functions as F
 
+from tideline.functions import text
 from tideline.operators import catalog, refresh
 from tideline.sources import catalog_files, dimensions
 
 HEADER = "code\turl\tproduct_name\tbrands\tcategories_tags\tingredients_text"
 ROWS = [
     '00000000003\tu\tMascara  Noir \t"Lumière, Other"\ten:makeup,en:mascara\t' + '"Aqua, ""Mica"" 2%,\n Parfum"',
-    "00000000001\tu\tFoundation SPF 18 310 Sun Beige\tPetal Lab\t\t" + "Talc, " * 1000 + "Mica",
+    "00000000001\tu\tFoundation SPF 18 310 Sun Beige\tPetal Lab\t\t" + "Talc, " * 1000 + "Kaolin",
     "00000000002\tu\tEye makeup remover\tPetal Lab\ten:makeup\t",
     "00000000004\tu\tLip balm\t  \ten:lip-balm\tWax",
     "00000000005\tu\tVernis (No. 612)\tDune & Co\tfr:vernis\t",
@@ -31,10 +32,10 @@ def test_export_to_catalog(spark, tmp_path):
     rows = built.collect()
     assert [r["code"] for r in rows] == ["00000000001", "00000000003", "00000000005"]
     assert [r["category"] for r in rows] == ["makeup", "mascara", "vernis"]
-    assert rows[0]["ingredients_text"] == "Talc, " * 1000 + "Mica" and rows[1]["ingredients_text"] == 'Aqua, "Mica" 2%,\n Parfum'
+    assert rows[0]["ingredients_text"] == "Talc, " * 1000 + "Kaolin" and rows[1]["ingredients_text"] == 'Aqua, "Mica" 2%,\n Parfum'
     assert rows[1]["name"] == "Mascara  Noir"
     listed = built.where("code = '00000000001'").select(text.split_ingredients(F.col("ingredients_text")).alias("x")).first()["x"]
-    assert listed == ["talc", "mica"]
+    assert listed == ["talc", "kaolin"]
     assert catalog.catalog_build(table, max_chars=20).collect()[0]["ingredients_text"] == "Talc, Talc, Talc, Ta"
 
     folder = str(tmp_path / "extract")
