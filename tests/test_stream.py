@@ -67,7 +67,6 @@ def test_a_crash_between_writes_leaves_no_trace(spark, place, monkeypatch, table
         return original(root, name, run_name, batch_id)
 
     monkeypatch.setattr(store, "batch_folder", failing)
-    monkeypatch.setattr(store, "is_committed", lambda *a: False)
     with pytest.raises(Exception, match="executor lost"):
         run(spark, job, place)
     monkeypatch.undo()

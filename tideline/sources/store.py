@@ -43,11 +43,6 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, "commits", COMMITS)
 
 
-def is_committed(spark: SparkSession, root: str, run: str, batch_id: int) -> bool:
-    folder = batch_folder(root, "commits", run, batch_id)
-    return not or_empty(spark, COMMITS, lambda: spark.read.schema(COMMITS).parquet(folder)).isEmpty()
-
-
 @dataclass(frozen=True)
 class Progress:
     """Version of the last fold, and per run the last batch it contains and the last batch committed.
@@ -59,6 +54,9 @@ class Progress:
     folded: dict[str, int]
     committed: dict[str, int]
 
+    def has(self, run: str, batch_id: int) -> bool:
+        return self.committed.get(run, -1) >= batch_id
+
     def done(self) -> Column:
         return self._batches({})
 
@@ -77,9 +75,10 @@ class Progress:
 
 def progress(spark: SparkSession, root: str) -> Progress:
     notes = or_empty(spark, _FOLDED, lambda: spark.read.schema(_FOLDED).parquet(f"{root}/folds"))
-    version = notes.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-    # both lists have a row per run, not per batch
-    folded = {row["run"]: row["through"] for row in notes.where(F.col("version") == version).collect()}
+    # both lists have a row per run, not per batch; each fold notes every run there is
+    rows = notes.groupBy("run").agg(F.max("version").alias("version"), F.max_by("through", "version").alias("through")).collect()
+    version = max([0, *(row["version"] for row in rows)])
+    folded = {row["run"]: row["through"] for row in rows}
     last = commits(spark, root).groupBy("run").agg(F.max("batch_id").alias("last")).collect()
     committed = {**folded, **{row["run"]: max(row["last"], folded.get(row["run"], -1)) for row in last}}
     return Progress(version, folded, committed)
@@ -91,9 +90,9 @@ def _folded_events(spark: SparkSession, root: str, version: int) -> DataFrame:
     return parts.where(F.col("version") <= version).drop("version")
 
 
-def events(spark: SparkSession, root: str) -> DataFrame:
+def events(spark: SparkSession, root: str, now: Progress | None = None) -> DataFrame:
     """Stored events of committed batches, with run, batch_id and dt."""
-    now = progress(spark, root)
+    now = now or progress(spark, root)
     later = _read(spark, root, "events", LAKE_EVENTS).where(now.pending())
     return _folded_events(spark, root, now.version).unionByName(later)
 

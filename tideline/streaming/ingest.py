@@ -6,7 +6,7 @@ import json
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -89,15 +89,16 @@ class Ingest:
     def write_batch(self, decoded: DataFrame, batch_id: int) -> None:
         """Store one micro-batch. Called again for the same batch, it leaves the same result."""
         spark = decoded.sparkSession
-        if store.is_committed(spark, self.root, self.run, batch_id):
+        now = store.progress(spark, self.root)
+        if now.has(self.run, batch_id):
             return
         decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self._write(spark, decoded, batch_id)
+            self._write(spark, decoded, batch_id, now)
         finally:
             decoded.unpersist()
 
-    def _write(self, spark: SparkSession, decoded: DataFrame, batch_id: int) -> None:
+    def _write(self, spark: SparkSession, decoded: DataFrame, batch_id: int, now: store.Progress) -> None:
         started = time.perf_counter()
         totals = totals_of(decoded)
         if self.on_bad == "fail" and totals["bad"]:
@@ -108,7 +109,7 @@ class Ingest:
 
         good = decoded.where(F.col("reason").isNull()).select(*EVENT_COLUMNS, "topic", "partition", "offset")
         new = dedupe.first_delivery(good, ("topic", "partition", "offset")).select(*EVENT_COLUMNS)
-        known = store.events(spark, self.root)
+        known = store.events(spark, self.root, now)
         if self.dedupe == "days":
             # the days of a batch are few; their folders are the only ones that are read
             known = known.where(F.col("dt").isin(totals["days"]) if totals["days"] else F.lit(False))
@@ -124,12 +125,11 @@ class Ingest:
         written = or_empty(
             spark, new.schema, lambda: spark.read.schema(new.schema).parquet(folder("events"))
         )
-        delta = rollup.product_stats(written)
-        delta.write.mode("overwrite").parquet(folder("deltas"))
-        inserted = spark.read.parquet(folder("deltas")).agg(
-            F.coalesce(F.sum(F.col("review_count") + F.col("search_count") + F.col("view_count")), F.lit(0))
-        ).first()[0]
-        write_commit(spark, self.root, self.run, batch_id, totals, inserted, started)
+        counted = Observation()
+        rows = F.coalesce(F.sum(F.col("review_count") + F.col("search_count") + F.col("view_count")), F.lit(0))
+        delta = rollup.product_stats(written).observe(counted, rows.alias("rows"))
+        delta.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder("deltas"))
+        write_commit(spark, self.root, self.run, batch_id, totals, counted.get["rows"], started)
 
     def start(self, messages: DataFrame, checkpoint: str, interval: str | None = None) -> StreamingQuery:
         """Run the stream. Without an ``interval`` it takes what is there now and stops."""
