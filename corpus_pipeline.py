@@ -66,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what passes between them is written to the shared checkpoint folder."""
+    """All stages over ``documents``. What passes between them is written to a new folder in the shared checkpoint folder.
+
+    The result reads the last of it, so the folder stays; whoever owns the checkpoint folder may delete it afterwards.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:

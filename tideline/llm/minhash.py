@@ -18,6 +18,7 @@ under one id follow each other, by their packed text. An empty table gives an em
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +89,10 @@ def _dealt(texts: DataFrame) -> DataFrame:
     bounds = np.array(sorted({x for x in row["bounds"] or () if x > least}), dtype=np.int64)
 
     def deal(batch):
-        ids = batch.column(0).to_pylist()
         places, own, tail = [], [], []
-        for i, x in enumerate(ids):
-            place = -1 if x is None else int(np.searchsorted(bounds, x, "right"))
+        for i, (x, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            # rows without an id have ranges below 0, by their text
+            place = -1 - zlib.crc32(packed) % n if x is None else int(np.searchsorted(bounds, x, "right"))
             places.append(i)
             own.append(place)
             tail.append(0)
