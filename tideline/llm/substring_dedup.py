@@ -311,7 +311,8 @@ def _deal(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, i
     tasks = partitions(df.sparkSession)
     groups = max(4 * tasks, math.ceil(n_bytes / GROUP_BYTES))
     bits = min(30, max(3, math.ceil(math.log2(max(1, n_bytes / BUCKET_BYTES)))))
-    group = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    # rows without an id are dealt by their text
+    group = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(groups)).cast("int")
     return rows.withColumn("group", group).repartition(tasks, "group"), bits
 
 
