@@ -131,7 +131,8 @@ def dropped_keys(texts: DataFrame, least: int = LEAST) -> DataFrame:
     n_lines = texts.agg(F.sum(breaks + 1)).first()[0] or 0
     found = pinned(suspects(texts, blocks(n_lines), least))
     holders = found.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    repeats = holders.where("first < last").select("high", "low", "first")
+    # written out, so that both sides of the join are dealt anew and Spark can split a line that very many documents hold
+    repeats = pinned(holders.where("first < last").select("high", "low", "first"))
     lost = found.join(repeats, ["high", "low"]).where("id > first")
     return lost.groupBy("id").agg(F.collect_list(F.struct("high", "low")).alias("drop"))
 
