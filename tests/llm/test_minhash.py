@@ -66,3 +66,11 @@ def test_similar_pairs(spark):
     found = {(r["a"], r["b"]): r["jaccard"] for r in pairs.collect()}
     assert set(found) <= true and len(found) >= 0.95 * len(true)
     assert all(np.isclose(j, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for (a, b), j in found.items())
+
+
+def test_unrelated_long_texts(spark):
+    one, other = (" ".join(f"{kind}{i}" for i in range(700_000)) for kind in "ab")
+    assert minhash.likeness(*(minhash.signature(text.encode()) for text in (one, other))) < 0.05
+    assert minhash.likeness(*(minhash.signature(text.encode()) for text in (one, one + " " + other[:1_000_000]))) > 0.7
+    pairs, members = minhash.similar_pairs(odd.documents(spark, [(1, one), (2, other), (3, one.upper())]))
+    assert dict(odd.rows_of(members)) == {1: 1, 2: 2, 3: 1} and pairs.count() == 0

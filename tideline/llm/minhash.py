@@ -2,14 +2,14 @@
 
 A shingle is ``WORDS`` consecutive words, split at ASCII white space with A-Z in lower case (a shorter text is one shingle, a
 text without words none). Each of ``HASHES`` permutations x -> a*x + b modulo 2^64, a odd, keeps its smallest value over all
-shingles; 16 leading bits of each are the fingerprint. The likeness of two fingerprints is the share of equal places; that of
+shingles; 16 mixed bits of each are the fingerprint (its own leading bits are zero in long texts). The likeness of two fingerprints is the share of equal places; that of
 two texts without words is 1.
 
 ``edited`` pairs each document with the next one by id. Texts are packed and dealt to id ranges once; the first document of a
 range is dealt to the range before as well, so each range reads its documents in order and holds two at a time. The bounds
 of the ranges are ids of documents (approximate percentiles), no more than shuffle partitions.
 
-``similar_pairs`` joins bands of fingerprints, one row for equal ones, and verifies the Jaccard of what agrees.
+``similar_pairs`` joins bands of fingerprints, one row for equal sets of shingles, and verifies the Jaccard of what agrees.
 
 A null text is an empty text. Rows with a null id have no next document: their last quarter is cut off. Rows that repeat
 under one id follow each other, by their packed text. An empty table gives an empty result.
@@ -61,6 +61,7 @@ def signature(text: bytes, words: int = WORDS) -> np.ndarray:
     found, least = shingles(text, words), np.full(HASHES, np.iinfo(np.uint64).max, _U)
     for start in range(0, len(found), CHUNK):
         least = np.minimum(least, (found[start:start + CHUNK, None] * _A + _B).min(axis=0))
+    least = (least ^ (least >> _U(31))) * _U(0x94D049BB133111EB)
     return (least >> _U(48)).astype(">u2")
 
 
@@ -154,14 +155,21 @@ def similar_pairs(df: DataFrame, threshold: float = LIKE, bands: int = BANDS, id
                   text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Pairs ``a``, ``b``, ``jaccard`` of representatives, and ``doc_id`` with its ``representative``.
 
-    Documents with equal fingerprints have one representative, the smallest id. Two that agree in some band are compared
+    Documents with equal sets of shingles have one representative, the smallest id. Two that agree in some band are compared
     in the join itself, in the first band they share; what is alike enough (less a margin of 0.15) is verified on its texts.
     """
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text")).where(
         "doc_id is not null")
-    prints = pinned(signatures(texts))
-    nodes = pinned(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
-    members = prints.join(nodes, "fingerprint").select("doc_id", F.col("node").alias("representative"))
+
+    def judge(batch):
+        own = batch.column(1).to_pylist()
+        sets = [hashlib.blake2b(np.unique(shingles(x)).tobytes(), digest_size=16).digest() for x in own]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(x).tobytes().hex() for x in own], pa.string()),
+                                          pa.array(sets, pa.binary())], ["doc_id", "fingerprint", "set"])
+
+    prints = pinned(arrow_map(texts, judge, "doc_id long, fingerprint string, set binary"))
+    nodes = pinned(prints.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("fingerprint").alias("fingerprint")))
+    members = prints.select("doc_id", "set").join(nodes, "set").select("doc_id", F.col("node").alias("representative"))
     size = 4 * HASHES // bands
     cut = F.array(*[F.substring("fingerprint", 1 + i * size, size) for i in range(bands)])
     rows = nodes.select("node", "fingerprint", F.posexplode(cut).alias("band", "key"))
