@@ -49,3 +49,14 @@ def test_regression_tells_kinds_apart(spark):
     model = u.learn(df.where("i < 200"))
     got = u.judge(df.where("i >= 200"), model).select("row.verdict", "block_probability").collect()
     assert np.mean([(r[1] >= 0.5) == (r[0] == "block") for r in got]) > 0.98
+
+
+def test_verdicts_of_the_given_rules(spark):
+    # the rules are written out here, apart from the module's constant
+    rules = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    urls = ["http://a.org/x", "http://m.example.org/es/2", "http://www.example.org/en/14?p=2", "https://example.org/en/1", "http://x.com/fr/1",
+            "http://x.com/de/1", "http://example.org/en/2"]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in u.digest_rows(pages(spark, urls)).collect()}
+    expect = ["org/", "example.org/es/", "example.org/en/1", "example.org/en/1", "com/fr/", "com/de/", "org/"]
+    assert got == {i: (rule, rules[rule]) for i, rule in enumerate(expect)}
+    assert {h + p: v for h, p, v in u.RULES} == rules
