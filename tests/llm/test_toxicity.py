@@ -58,3 +58,27 @@ def test_without_both_kinds_of_labels(spark):
         found = toxicity.digest_rows(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert {r["score"] for r in found.collect()} == {share}
     assert toxicity.digest_rows(odd.empty(spark), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_a_kind_that_the_curve_lacks_is_taken_from_other_folds(spark):
+    rows, labels = made(400)
+    folds = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in rows}
+    kept = [(i, y) for i, y in labels if folds[i] != 0 or not y]
+    rows += [(5000, None), (5001, " -- ")]
+    for n in (len(kept), 1):
+        toxic = sorted(i for i, y in kept if y and folds[i] != 2)[:n]
+        own = [(i, y) for i, y in kept if not y or i in toxic or folds[i] == 2]
+        found = toxicity.digest_rows(odd.documents(spark, rows), spark.createDataFrame(own, "doc_id long, toxic int")).collect()
+        scores = {r["doc_id"]: r["score"] for r in found}
+        assert len(set(scores.values())) > 100
+        if n > 1:
+            held = [i for i, _ in labels if folds[i] == 2]
+            assert sum((scores[i] >= 0.3) == dict(labels)[i] for i in held) / len(held) > 0.9
+
+
+def test_texts_without_words_are_not_rejected_by_share(spark):
+    rows, labels = made(300, share=0.7)
+    rows += [(5000, None), (5001, ""), (5002, " -- ")]
+    for own in (labels, [(i, 1) for i, _ in labels]):
+        found = toxicity.digest_rows(odd.documents(spark, rows), spark.createDataFrame(own, "doc_id long, toxic int")).collect()
+        assert {r["predicted"] for r in found if r["doc_id"] >= 5000} == {0}

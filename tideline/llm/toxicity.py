@@ -1,7 +1,7 @@
 """Toxic texts by two Kneser-Ney models, one for each label, that share their backoff counts.
 
-A model predicts a word with the counts of its own label, discounted, and backs off to the shared count of the word. It
-also predicts each letter from the four before it in its word, again by its own label's counts, and backs off to shared
+A model predicts a word alone, whatever words are around it, with the counts of its own label, discounted, and backs off to the
+shared count of the word. It also predicts each letter from the four before it in its word, again by its own label's counts, and backs off to shared
 counts of both labels: in how many different surroundings the letter was seen after two letters, and after none. So a rare
 word weighs nothing by being rare, and an unseen form of a toxic stem still weighs by its stem.
 
@@ -11,10 +11,13 @@ score between 0 and 1.
 
 Counts come from all labelled rows of the training folds and are gathered by shuffle, word by word. The models are hashed
 tables of ``BUCKETS`` entries, whose size is fixed, so they can be sent to all tasks; grams that share a bucket add up.
-The curve is fitted on at most ``SAMPLE`` labelled rows that the counts leave out. Texts are scored where they are read.
+The curve is fitted on at most ``SAMPLE`` labelled rows that the counts leave out, from fold 0; of a kind of label that these
+lack, or hold all of, a quarter of its rows is taken from all folds, one at least. Only a kind's single row is counted as well.
+Texts are scored where they are read.
 
-A null or empty text gets the share of toxic labels as its score. A label that is null is no label; if a document has two,
-the larger holds. Without labels of both kinds every score is that share (0 without labels). Rows that repeat are judged
+A null or empty text, or one without words, holds nothing toxic: its score is the share of toxic labels, but half of
+``THRESHOLD`` at most, so that it is not rejected for what other texts are. A label that is null is no label; if a document has two,
+the larger holds. Without labels of both kinds every other score is that share (0 without labels). Rows that repeat are judged
 one by one; an empty table gives an empty result.
 """
 
@@ -156,10 +159,11 @@ class Model:
         return found
 
     def scores(self, texts: list[bytes]) -> list[float]:
+        none = min(self.share, THRESHOLD / 2)
         if self.weights is None:
-            return [self.share] * len(texts)
+            return [self.share if any(map(word_of, text.decode("utf-8", "replace").split())) else none for text in texts]
         own = self.of_texts(texts)
-        return [self.share if x is None else
+        return [none if x is None else
                 float(1 / (1 + np.exp(-np.clip(x @ self.weights[:5] + self.weights[5], -40, 40)))) for x in own]
 
 
@@ -260,6 +264,19 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.r_[w[:-1] / width, w[-1] - (w[:-1] * middle / width).sum()]
 
 
+def _sampled(own: DataFrame, n: dict[int, int]) -> DataFrame:
+    """At most ``SAMPLE`` labelled rows for the curve, of both kinds."""
+    sample = pinned(own.where(fold("of") == 0).orderBy(F.xxhash64("of"), "of").limit(SAMPLE))
+    taken = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
+    for kind in n:
+        if taken.get(kind, 0) in (0, n[kind]):
+            more = min(-(-n[kind] // 4), SAMPLE // 2)
+            added = own.where(F.col("label") == kind).orderBy(F.xxhash64("of"), "of").limit(more)
+            others = sample.where(F.col("label") != kind).orderBy(F.xxhash64("of"), "of").limit(SAMPLE - more)
+            sample = pinned(others.unionByName(added))
+    return sample
+
+
 def learn(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
           label_column: str = "toxic") -> Model:
     """A model from the labelled rows of ``df`` whose fold is not 2."""
@@ -272,8 +289,9 @@ def learn(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         return Model({}, {}, share)
     texts = df.select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("text")).where(fold("id") != 2)
     # at most SAMPLE rows of 16 bytes, so it may be sent to all tasks
-    sample = pinned(own.where(fold("of") == 0).orderBy(F.xxhash64("of"), "of").limit(SAMPLE))
-    rest = own.join(F.broadcast(sample.select("of")), "of", "left_anti")
+    sample = _sampled(own, n)
+    single = [kind for kind in n if n[kind] == 1]
+    rest = own.join(F.broadcast(sample.where(~F.col("label").isin(single)).select("of")), "of", "left_anti")
     model = Model(*_gathered(_counted(texts, rest)), share)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
