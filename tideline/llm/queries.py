@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import conversation_repair, decontamination, licenses, line_dedup, minhash, packing, secrets, simhash, substring_dedup, toxicity, url_filter
+from tideline.llm import conversation_repair, decontamination, licenses, line_dedup, minhash, packing, secrets, sharding, simhash, substring_dedup, toxicity, url_filter
 from tideline.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -67,4 +67,9 @@ def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.digest_rows(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_line_dedup, op4_url_filter, op5_licenses, op6_toxicity, op7_minhash, op8_simhash, op9_substring_dedup, op10_packing, op11_conversation_repair)}
+def op12_sharding(spark, sf_dir):
+    """Shard and slot of each document: equal counts, equal texts together."""
+    return sharding.digest_rows(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_line_dedup, op4_url_filter, op5_licenses, op6_toxicity, op7_minhash, op8_simhash, op9_substring_dedup, op10_packing, op11_conversation_repair, op12_sharding)}
