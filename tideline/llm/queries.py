@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import conversation_repair, decontamination, licenses, line_dedup, minhash, packing, secrets, sharding, simhash, substring_dedup, toxicity, url_filter
+from tideline.llm import conversation_repair, decontamination, hard_negatives, licenses, line_dedup, minhash, packing, secrets, sharding, simhash, substring_dedup, toxicity, url_filter
 from tideline.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -72,4 +72,9 @@ def op12_sharding(spark, sf_dir):
     return sharding.digest_rows(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_line_dedup, op4_url_filter, op5_licenses, op6_toxicity, op7_minhash, op8_simhash, op9_substring_dedup, op10_packing, op11_conversation_repair, op12_sharding)}
+def op13_hard_negatives(spark, sf_dir):
+    """For each anchor and positive the rows of other labels whose scores come close."""
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_line_dedup, op4_url_filter, op5_licenses, op6_toxicity, op7_minhash, op8_simhash, op9_substring_dedup, op10_packing, op11_conversation_repair, op12_sharding, op13_hard_negatives)}
