@@ -5,7 +5,7 @@ from helpers import event_rows, events, payloads, raw, summary, write_messages
 from pyspark.sql import functions as F
 
 from tideline.operators import deadletters, metrics, rollup
-from tideline.sources import lake, store, topics
+from tideline.sources import claims, id_index, lake, store, topics
 from tideline.streaming import ingest
 from tideline.streaming.ingest import BadEvent, Ingest
 
@@ -229,3 +229,104 @@ def test_wrong_settings():
     with pytest.raises(ValueError):
         Ingest("x", "r", dedupe="watermark")
     assert issubclass(BadEvent, Exception)
+
+
+def test_a_run_name_used_again_with_a_new_checkpoint(spark, place):
+    write_messages(spark, place["topic"], payloads(spark, event_rows(10)))
+    run(spark, Ingest(place["store"], run="a"), place)
+    write_messages(spark, place["lake"], payloads(spark, event_rows(10, first=50)))
+    query = Ingest(place["store"], run="a").start(topics.file_stream(spark, place["lake"]), place["check2"])
+    query.awaitTermination()
+    assert counts(spark, place) == {"events": 20, "stats_total": 20, "mismatched_products": 0}
+    assert sorted(r["processed"] for r in store.commits(spark, place["store"]).collect()) == [10, 10]
+    assert len({r["run"] for r in store.commits(spark, place["store"]).collect()}) == 2
+    # each checkpoint goes on under its own name
+    write_messages(spark, place["topic"], payloads(spark, event_rows(5, first=80)))
+    run(spark, Ingest(place["store"], run="a"), place)
+    write_messages(spark, place["lake"], payloads(spark, event_rows(5, first=90)))
+    Ingest(place["store"], run="a").start(topics.file_stream(spark, place["lake"]), place["check2"]).awaitTermination()
+    assert counts(spark, place) == {"events": 30, "stats_total": 30, "mismatched_products": 0}
+
+
+def test_dead_letters_of_a_lake_survive_a_new_checkpoint(spark, place):
+    write_messages(spark, place["topic"], [b"{"] * 10)
+    ingest.start_lake(topics.file_stream(spark, place["topic"]), place["lake"], place["check"]).awaitTermination()
+    write_messages(spark, place["store"], [b"["] * 10)
+    ingest.start_lake(topics.file_stream(spark, place["store"]), place["lake"], place["check2"]).awaitTermination()
+    assert store.dead_letters(spark, place["lake"]).count() == 20
+    assert store.commits(spark, place["lake"]).agg(F.sum("dlq")).first()[0] == 20
+
+
+def test_two_runs_at_once_insert_each_id_once(spark, place, monkeypatch):
+    """The second run commits while the first one is between its writes and its note."""
+    write_messages(spark, place["topic"], payloads(spark, event_rows(40)))
+    original, met = store.commit, []
+
+    def commit(session, root, now, name, batch_id, attempt):
+        if not met:
+            met.append(name)
+            run(spark, Ingest(place["store"], run="second"), place, checkpoint="check2")
+        return original(session, root, now, name, batch_id, attempt)
+
+    monkeypatch.setattr(store, "commit", commit)
+    run(spark, Ingest(place["store"], run="first"), place)
+    assert met == ["first"]
+    assert counts(spark, place) == {"events": 40, "stats_total": 40, "mismatched_products": 0}
+    log = {r["run"]: (r["processed"], r["inserted"]) for r in store.commits(spark, place["store"]).collect()}
+    assert log == {"first": (40, 0), "second": (40, 40)}
+
+
+def test_one_of_two_processes_wins_a_batch(spark, place, monkeypatch):
+    """Another process commits the same batch of the same stream first; what this one wrote does not count."""
+    write_messages(spark, place["topic"], [*payloads(spark, event_rows(30)), b"{"])
+    original, met = store.commit, []
+
+    def commit(session, root, now, name, batch_id, attempt):
+        if not met:
+            met.append(attempt)
+            assert original(session, root, now, name, batch_id, "a-stranger")
+            return False
+        return original(session, root, now, name, batch_id, attempt)
+
+    monkeypatch.setattr(store, "commit", commit)
+    run(spark, Ingest(place["store"], run="a"), place)
+    assert len(met) == 1 and store.progress(spark, place["store"]).version == 1
+    assert store.events(spark, place["store"]).count() == 0 and store.dead_letters(spark, place["store"]).count() == 0
+
+
+def test_a_note_is_created_once(spark, tmp_path):
+    path = f"{tmp_path}/notes/{claims.number(7)}"
+    assert claims.names(spark, f"{tmp_path}/notes") == []
+    assert claims.create(spark, path, {"a": [1, "ü"]}) and not claims.create(spark, path, {"a": 2})
+    assert claims.read(spark, path) == {"a": [1, "ü"]} and claims.names(spark, f"{tmp_path}/notes") == [claims.number(7)]
+
+
+def test_a_batch_reads_the_prefixes_of_its_ids(spark, place):
+    for part in range(4):
+        write_messages(spark, place["topic"], payloads(spark, event_rows(300, first=300 * part)), first_offset=300 * part)
+    job = Ingest(place["store"], run="a", fold_every=2)
+    run(spark, job, place, max_files=1)
+    now = store.progress(spark, place["store"])
+    assert now.fold == 2 and not now.notes and sum(n for _, n in now.ids) == 1200
+    three = id_index.lookup(spark, place["store"], now.ids, [3, 5, 8])
+    every = id_index.lookup(spark, place["store"], now.ids)
+    assert {f.split("/prefix=")[1].split("/")[0] for f in three.inputFiles()} <= {"3", "5", "8"}
+    assert 0 < len(three.inputFiles()) <= 3 * len(now.ids) and three.count() == every.where(id_index.prefix().isin(3, 5, 8)).count()
+    named = store.known_ids(spark, place["store"], now, [3]).where(F.col("event_id").isin(["a", "b"]))
+    assert "PushedFilters: [In(event_id, [a,b])]" in named._jdf.queryExecution().executedPlan().toString()
+    # a replay by a new reader and the next batches meet all that is stored
+    run(spark, Ingest(place["store"], run="b", fold_every=None), place, checkpoint="check2")
+    write_messages(spark, place["topic"], payloads(spark, event_rows(150, first=1100)), first_offset=2000)
+    run(spark, job, place)
+    assert counts(spark, place) == {"events": 1250, "stats_total": 1250, "mismatched_products": 0}
+
+
+def test_the_index_keeps_few_versions(spark, tmp_path):
+    alive, total = [], 0
+    for step in range(12):
+        ids = spark.range(total, total + 50).select(F.concat(F.lit("id"), F.col("id")).alias("event_id"))
+        alive, total = id_index.add(spark, str(tmp_path), alive, ids), total + 50
+        assert sum(n for _, n in alive) == total and len(alive) <= 4
+    assert id_index.lookup(spark, str(tmp_path), alive).distinct().count() == total
+    assert id_index.add(spark, str(tmp_path), alive, ids.limit(0)) == alive
+    assert id_index.lookup(spark, str(tmp_path), alive, []).count() == 0 == id_index.lookup(spark, str(tmp_path), []).count()

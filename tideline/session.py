@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # a repeated key in a JSON document keeps its last value
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # a short list of ids is asked of the Bloom filters of Parquet files one by one
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -1,37 +1,42 @@
 """The event store of the stream: every event once, and a rollup that matches, on plain Parquet folders.
 
-Each micro-batch writes its own folders, in this order:
-
-``events/run=R/batch_id=N/dt=D``       events that were new
-``dead_letters/run=R/batch_id=N``      messages that were rejected
-``deltas/run=R/batch_id=N``            rollup of the new events
-``commits/run=R/batch_id=N``           one row; the batch counts from here on
-
-A batch that is replayed after a crash overwrites what it left behind, and a batch with a commit is not
-written again.  Readers stop at the last commit of a run, so they never see half a batch.  The run is part of the path because
-a new checkpoint numbers its batches from 0 again.  ``fold`` merges the small files of many batches.
+Each micro-batch writes folders of its own attempt, in this order, and then claims the next number of the log:
+
+``events/run=R/batch_id=N/attempt=A/dt=D``     events that were new
+``dead_letters/run=R/batch_id=N/attempt=A``    messages that were rejected
+``deltas/run=R/batch_id=N/attempt=A``          rollup of the new events
+``commits/run=R/batch_id=N/attempt=A``         one row with counts
+``log/V``                                      a note; from here on the attempt counts
+
+A note is created by one writer only. Who finds the number taken looks at what the winner stored and starts again, so two runs,
+or two processes that work on one batch, never both insert an id. An attempt without a note is invisible, and a batch with a
+note is not written again. A run is bound to the id of its stream's checkpoint: a new checkpoint, whose batches count from 0
+again, writes under a name of its own (``claims.bound_name``). ``fold`` merges the small files of many batches, adds their ids
+to the index (``id_index``) and ends the list of attempts that readers have to name.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tideline.operators import rollup
+from tideline.sources import claims, id_index
 from tideline.sources.lake import ROWS_PER_FILE
 from tideline.sources.logs import or_empty
 from tideline.tables import DEAD_LETTERS, LAKE_EVENTS, LONG, PRODUCT_STATS, REAL, TEXT, TIME, extended, schema
 
 COMMITS = schema(committed_at=TIME, processed=LONG, inserted=LONG, dlq=LONG, sink_ms=REAL)
 _STORED_LETTERS = extended(DEAD_LETTERS, diverted_at=TIME)
-_FOLDED = schema(run=TEXT, through=LONG, version=LONG)
+_LOG = schema(version=LONG, run=TEXT, batch_id=LONG, attempt=TEXT)
 
 
 def _read(spark: SparkSession, root: str, table: str, columns: StructType) -> DataFrame:
-    wanted = extended(columns, run=TEXT, batch_id=LONG)
+    wanted = extended(columns, run=TEXT, batch_id=LONG, attempt=TEXT)
     return or_empty(spark, wanted, lambda: spark.read.schema(wanted).parquet(f"{root}/{table}"))
 
 
@@ -39,75 +44,97 @@ def batch_folder(root: str, table: str, run: str, batch_id: int) -> str:
     return f"{root}/{table}/run={run}/batch_id={batch_id}"
 
 
+def _counting(spark: SparkSession, root: str, table: DataFrame) -> DataFrame:
+    """Rows of attempts that have a note in the log."""
+    log = or_empty(spark, _LOG, lambda: spark.read.schema(_LOG).json(f"{root}/log")).select("attempt")
+    return table.join(log, "attempt", "left_semi").drop("attempt")
+
+
 def commits(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, root, "commits", COMMITS)
+    return _counting(spark, root, _read(spark, root, "commits", COMMITS))
 
 
 @dataclass(frozen=True)
 class Progress:
-    """Version of the last fold, and per run the last batch it contains and the last batch committed.
-
-    A run commits its batches one after the other, so a number per run says which count.
-    """
-
-    version: int
-    folded: dict[str, int]
-    committed: dict[str, int]
+    """The last fold (number, log version it ends with, what it holds) and the notes of the log after it."""
+
+    fold: int = 0
+    through: int = 0
+    folded: dict[str, int] = field(default_factory=dict)
+    events: list[int] = field(default_factory=list)
+    rollup: int | None = None
+    ids: list[list[int]] = field(default_factory=list)
+    notes: tuple[dict, ...] = ()
+
+    @property
+    def committed(self) -> dict[str, int]:
+        """The last batch of each run; a run commits its batches one after the other."""
+        last = dict(self.folded)
+        for note in self.notes:
+            last[note["run"]] = max(note["batch_id"], last.get(note["run"], -1))
+        return last
+
+    @property
+    def version(self) -> int:
+        return self.notes[-1]["version"] if self.notes else self.through
 
     def has(self, run: str, batch_id: int) -> bool:
         return self.committed.get(run, -1) >= batch_id
 
-    def done(self) -> Column:
-        return self._batches({})
-
     def pending(self) -> Column:
-        return self._batches(self.folded)
-
-    def _batches(self, after: dict[str, int]) -> Column:
-        # a condition on partition columns: the folders of other batches are pruned, not read
-        chosen = F.lit(False)
-        for run, last in self.committed.items():
-            chosen = chosen | (
-                (F.col("run") == run) & (F.col("batch_id") <= last) & (F.col("batch_id") > after.get(run, -1))
-            )
-        return chosen
+        # a condition on a partition column: the folders of other attempts are pruned, not read
+        return F.col("attempt").isin([note["attempt"] for note in self.notes]) if self.notes else F.lit(False)
 
 
 def progress(spark: SparkSession, root: str) -> Progress:
-    notes = or_empty(spark, _FOLDED, lambda: spark.read.schema(_FOLDED).parquet(f"{root}/folds"))
-    # both lists have a row per run, not per batch; each fold notes every run there is
-    rows = notes.groupBy("run").agg(F.max("version").alias("version"), F.max_by("through", "version").alias("through")).collect()
-    version = max([0, *(row["version"] for row in rows)])
-    folded = {row["run"]: row["through"] for row in rows}
-    last = commits(spark, root).groupBy("run").agg(F.max("batch_id").alias("last")).collect()
-    committed = {**folded, **{row["run"]: max(row["last"], folded.get(row["run"], -1)) for row in last}}
-    return Progress(version, folded, committed)
+    """Reads one note for the last fold and one for each batch after it, whatever the length of the history."""
+    folds = claims.names(spark, f"{root}/folds")
+    last = Progress(**claims.read(spark, f"{root}/folds/{folds[-1]}")) if folds else Progress()
+    later = [name for name in claims.names(spark, f"{root}/log") if int(name) > last.through]
+    notes = tuple(claims.read(spark, f"{root}/log/{name}") for name in later)
+    return Progress(**{**vars(last), "notes": notes})
+
 
+def commit(spark: SparkSession, root: str, now: Progress, run: str, batch_id: int, attempt: str) -> bool:
+    """Make an attempt count that was made from ``now``. False if another commit came first."""
+    version = now.version + 1
+    note = {"version": version, "run": run, "batch_id": batch_id, "attempt": attempt}
+    return claims.create(spark, f"{root}/log/{claims.number(version)}", note)
 
-def _folded_events(spark: SparkSession, root: str, version: int) -> DataFrame:
+
+def _folded_events(spark: SparkSession, root: str, versions: list[int]) -> DataFrame:
     columns = extended(LAKE_EVENTS, run=TEXT, batch_id=LONG, version=LONG)
     parts = or_empty(spark, columns, lambda: spark.read.schema(columns).parquet(f"{root}/folded_events"))
-    return parts.where(F.col("version") <= version).drop("version")
+    return parts.where(F.col("version").isin(versions) if versions else F.lit(False)).drop("version")
+
+
+def _pending_events(spark: SparkSession, root: str, now: Progress) -> DataFrame:
+    return _read(spark, root, "events", LAKE_EVENTS).where(now.pending()).drop("attempt")
 
 
 def events(spark: SparkSession, root: str, now: Progress | None = None) -> DataFrame:
     """Stored events of committed batches, with run, batch_id and dt."""
     now = now or progress(spark, root)
-    later = _read(spark, root, "events", LAKE_EVENTS).where(now.pending())
-    return _folded_events(spark, root, now.version).unionByName(later)
+    return _folded_events(spark, root, now.events).unionByName(_pending_events(spark, root, now))
+
+
+def known_ids(spark: SparkSession, root: str, now: Progress, prefixes: list[int] | None = None) -> DataFrame:
+    """Stored ids: those of the batches since the last fold, and those of the index with the given prefixes."""
+    pending = _pending_events(spark, root, now).select("event_id")
+    return pending.unionByName(id_index.lookup(spark, root, now.ids, prefixes))
 
 
 def dead_letters(spark: SparkSession, root: str) -> DataFrame:
     """Dead letters of committed batches; ``dlq_offset`` orders the copies of a message over all runs."""
-    letters = _read(spark, root, "dead_letters", _STORED_LETTERS).where(progress(spark, root).done())
+    letters = _counting(spark, root, _read(spark, root, "dead_letters", _STORED_LETTERS))
     return letters.withColumn("dlq_offset", F.struct("diverted_at", "run", "batch_id", "source_offset"))
 
 
 def _stats(spark: SparkSession, root: str, now: Progress) -> DataFrame:
     deltas = _read(spark, root, "deltas", PRODUCT_STATS).where(now.pending()).select(*PRODUCT_STATS.fieldNames())
-    if now.version == 0:
+    if now.rollup is None:
         return rollup.add_up(deltas)
-    return rollup.add_up(spark.read.schema(PRODUCT_STATS).parquet(f"{root}/rollup/version={now.version}"), deltas)
+    return rollup.add_up(spark.read.schema(PRODUCT_STATS).parquet(f"{root}/rollup/version={now.rollup}"), deltas)
 
 
 def product_stats(spark: SparkSession, root: str) -> DataFrame:
@@ -116,17 +143,18 @@ def product_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def fold(spark: SparkSession, root: str, rows_per_file: int = ROWS_PER_FILE) -> int:
-    """Merge what the batches since the last fold left in small files. Returns the current version.
+    """Merge what the batches since the last fold left in small files. Returns the number of folds.
 
-    Their events go to larger files by day, sorted by product and time; their deltas go into a new rollup base.
-    Earlier folds are not rewritten.  The note which batches are merged is written last and makes the fold
-    count.  The folders of merged batches are not read again and may be deleted.
+    Their events go to larger files by day, sorted by product and time; their deltas go into a new rollup base, their ids into
+    the index. Earlier folds are not rewritten. The note that says what is merged is written last and makes the fold count;
+    if two folds run at once, one note is created and the other fold leaves no trace. The folders of merged batches are not
+    read again and may be deleted; the log stays.
     """
     now = progress(spark, root)
-    if now.committed == now.folded:
-        return now.version
-    new = now.version + 1
-    batches = _read(spark, root, "events", LAKE_EVENTS).where(now.pending())
+    if not now.notes:
+        return now.fold
+    new = uuid.uuid4().int >> 66
+    batches = _pending_events(spark, root, now)
     parts = max(1, -(-batches.count() // rows_per_file))
     order = ["dt", "product_id", "event_ts", "event_id"]
     (
@@ -135,9 +163,10 @@ def fold(spark: SparkSession, root: str, rows_per_file: int = ROWS_PER_FILE) ->
         .option("compression", "zstd").parquet(f"{root}/folded_events/version={new}")
     )
     _stats(spark, root, now).write.mode("overwrite").parquet(f"{root}/rollup/version={new}")
-    notes = [(run, last, new) for run, last in now.committed.items()]
-    spark.createDataFrame(notes, _FOLDED).coalesce(1).write.mode("append").parquet(f"{root}/folds")
-    return new
+    ids = id_index.add(spark, root, now.ids, batches.select("event_id"))
+    note = {"fold": now.fold + 1, "through": now.version, "folded": now.committed, "events": [*now.events, new], "rollup": new, "ids": ids}
+    claims.create(spark, f"{root}/folds/{claims.number(note['fold'])}", note)
+    return note["fold"]
 
 
 def ingest_inputs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
