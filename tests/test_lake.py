@@ -2,7 +2,7 @@ from helpers import event_rows, events, same
 from pyspark.sql import functions as F
 
 from tideline.operators import analytics, rollup
-from tideline.sources import lake
+from tideline.sources import claims, lake
 
 DAY_MS = 86_400_000
 
@@ -92,3 +92,59 @@ def test_channels(spark):
     assert {r[0]: r[1] for r in analytics.channel_counts(given).collect()} == {"web": 20, "none": 20}
 
 
+
+
+def test_only_days_with_new_files_are_rewritten(spark, tmp_path):
+    root, rows = str(tmp_path), event_rows(90, step_ms=DAY_MS // 30)
+    lake.append_events(events(spark, rows), root)
+    first = lake.compact(spark, root)
+    assert len(first["days"]) == 4 and first["rows_after"] == 90
+    assert lake.compact(spark, root)["days"] == [] and lake.snapshot(spark, root)["number"] == 1
+    lake.append_events(events(spark, rows[:3] + event_rows(2, seed=8)), root)
+    again = lake.compact(spark, root)
+    assert again["days"] == first["days"][:1]
+    assert (again["rows_before"], again["distinct_before"], again["rows_after"]) == (95, 92, 92)
+    notes = lake.snapshot(spark, root)["days"]
+    assert len({day["version"] for day in notes.values()}) == 2 and lake.read_events(spark, root, compacted=True, dedupe=False).count() == 92
+    # versions that a snapshot names stay
+    assert lake.clean(spark, root, keep=2) == []
+    lake.append_events(events(spark, rows), root)
+    assert lake.compact(spark, root)["days"] == first["days"] and len(lake.clean(spark, root, keep=1)) == 2
+    assert same(lake.read_events(spark, root, compacted=True, dedupe=False), lake.read_events(spark, root))
+
+
+def test_a_reader_sees_a_compaction_as_a_whole(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path), event_rows(60, step_ms=DAY_MS // 20)
+    lake.append_events(events(spark, rows[:40]), root)
+    lake.compact(spark, root)
+    before = lake.read_events(spark, root, compacted=True, dedupe=False)
+    lake.append_events(events(spark, rows), root)
+    seen, original = [], claims.create
+
+    def create(session, path, note):
+        if "/snapshots/" in path:  # all is written, the note is not
+            seen.append(lake.read_events(spark, root, compacted=True, dedupe=False).count())
+        return original(session, path, note)
+
+    monkeypatch.setattr(claims, "create", create)
+    assert lake.compact(spark, root)["rows_after"] == 60
+    assert seen == [40] and before.count() == 40
+    assert lake.read_events(spark, root, compacted=True, dedupe=False).count() == 60
+
+
+def test_of_two_compactions_the_second_starts_again(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    lake.append_events(events(spark, event_rows(30)), root)
+    original, met = claims.create, []
+
+    def create(session, path, note):
+        if not met:
+            met.append(path)
+            lake.append_events(events(spark, event_rows(10, first=20)), root)
+            assert lake.compact(spark, root)["rows_after"] == 30
+        return original(session, path, note)
+
+    monkeypatch.setattr(claims, "create", create)
+    report = lake.compact(spark, root)
+    assert (report["rows_before"], report["rows_after"], report["days"]) == (40, 30, [])
+    assert lake.snapshot(spark, root)["number"] == 1
