@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions import columns, payload, text
 from tideline.operators import agreement, analytics, catalog, deadletters, dedupe, metrics, refresh, rollup, runs
 from tideline.plans.fixtures import fixture
-from tideline.session import configure, pinned
+from tideline.session import checkpoint_folder, configure, pinned
 from tideline.sources import lake
 from tideline.tables import EVENT_COLUMNS
 
@@ -203,13 +204,12 @@ def events_deduped(spark, sf_dir):
 
 @query
 def compact_day(spark, sf_dir):
-    """Each day deduplicated on its own and ordered by product and time."""
-    return (
-        dedupe.one_per_event(_lake(spark, sf_dir), "dt")
-        .select("dt", "event_id", "event_type", "product_id", "shade_id", "user_id", "rating", _plain_time("event_ts"),
-                "channel")
-        .orderBy("dt", "product_id", "event_ts", "event_id")
-    )
+    """A lake of all deliveries, compacted: each day deduplicated on its own and ordered by product and time."""
+    root = f"{checkpoint_folder(spark)}/lake-{uuid.uuid4().hex}"
+    lake.append_events(_deliveries(spark, sf_dir), root)
+    lake.compact(spark, root)
+    return lake.read_events(spark, root, compacted=True, dedupe=False).select(
+        "dt", "event_id", "event_type", "product_id", "shade_id", "user_id", "rating", _plain_time("event_ts"), "channel")
 
 
 @query
