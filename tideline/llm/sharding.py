@@ -61,14 +61,16 @@ def propagated(links: DataFrame, rows: int, shards: int = SHARDS, rounds: int =
 
     ``start`` (from 0 to 1) places it at first, ``hub`` is its least one, ``rows`` counts the nodes with and without links.
     """
+    links = pinned(links.select("node", "start", "hub").distinct())
     size = links.groupBy(F.col("hub").alias("of")).agg(F.count("*").alias("n")).where("n > 1")
-    links = pinned(links.join(size, F.col("hub") == F.col("of")).select("node", "start", "hub").distinct())
+    # counts are written out, so that both sides of a join are dealt anew and a hub with very many nodes can be split
+    links = pinned(links.join(pinned(size), F.col("hub") == F.col("of")).select("node", "start", "hub"))
     state = links.groupBy("node").agg(F.least(F.floor(F.min("start") * shards), F.lit(shards - 1)).cast("int").alias("shard"))
     members, most, closed, full = links.select("node", "hub"), [quota * (1 + SLACK) for quota in quotas(rows, shards)], set(), set()
     for turn in range(rounds):
         placed = members.join(state, "node")
         hubs = placed.groupBy(F.col("hub").alias("of")).agg(*[F.count_if(F.col("shard") == s).alias(f"n{s}") for s in range(shards)])
-        seen = placed.join(hubs, F.col("hub") == F.col("of")).groupBy("node").agg(
+        seen = placed.join(pinned(hubs), F.col("hub") == F.col("of")).groupBy("node").agg(
             F.first("shard").alias("shard"), F.xxhash64(F.min("hub")).alias("turned"), *[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)])
         total = sum([F.col(f"n{s}") for s in range(1, shards)], F.col("n0"))
         large = total > rows // shards
