@@ -1,11 +1,14 @@
 import gzip
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import text
-from tideline.operators import catalog, refresh
+from tideline.operators import agreement, catalog, refresh
 from tideline.sources import catalog_files, dimensions
+from tideline.tables import CATALOG_EXPORT
 
 HEADER = "code\turl\tproduct_name\tbrands\tcategories_tags\tingredients_text"
 ROWS = [
@@ -83,3 +86,41 @@ def test_duplicate_products(spark):
     table = refresh.refresh_products(spark.createDataFrame(rows, "product_id int, brand string, raw_name string"))
     assert [tuple(r) for r in refresh.duplicate_products(table).collect()] == [("couleurs nature|poudre libre veloutee", 2)]
     assert table.where(F.col("refreshed_at").isNull()).count() == 0
+
+
+def multi_line(spark, path):
+    reader = spark.read.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"').option("maxCharsPerColumn", "-1")
+    return reader.option("multiLine", "true").csv(path).select(*CATALOG_EXPORT)
+
+
+@pytest.fixture
+def small_pieces(spark):
+    before = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for name, value in zip(before, ("2000", "1")):
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_quoted_records_over_many_pieces(spark, tmp_path, small_pieces):
+    """Line ends, tabs and quotes in fields, short pieces: a record may begin in one, cross some and end in another."""
+    rng = random.Random(7)
+    fields = ["", "plain", 'an inch 5" wide', '"quoted"', '"with\ttab"', '"two\nlines"', '"""all"""', '"a ""b"" c\n\n""d"""', '""', ' " spaced ', "Ünï", '"x\r\ny"']
+    for file in range(3):
+        with open(tmp_path / f"part{file}.csv", "w", encoding="utf-8", newline="") as out:
+            out.write(HEADER + "\n")
+            for i in range(400):
+                row = [f"{file}-{i}", "u", *[rng.choice(fields) for _ in range(3)], rng.choice([*fields, '"' + "long\n" * rng.randrange(1, 1500) + '"'])]
+                out.write("\t".join(row) + "\n" + "\n" * (i % 50 == 0))
+    path = str(tmp_path)
+    got = catalog_files.product_export(spark, path)
+    assert got.rdd.getNumPartitions() > 50
+    assert got.count() == 1200 and agreement.agree(got, multi_line(spark, path)).first()["identical"]
+
+
+def test_exports_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "\n")
+    assert catalog_files.product_export(spark, str(tmp_path)).count() == 0
+    (tmp_path / "b.csv").write_text(HEADER + "\n1\tu\tn\tb\tt\t\"never closed\nby a quote")
+    assert catalog_files.product_export(spark, str(tmp_path / "b.csv")).collect() == multi_line(spark, str(tmp_path / "b.csv")).collect()
