@@ -82,3 +82,23 @@ def test_empty_input(spark):
     assert ordering.nearest_rank(df, ["g"], "v", {"p50": 0.5}).count() == 0
     assert ordering.dense_position(df, ["g", "v"]).count() == 0
     assert ordering.with_next(df, ["g"], ["v"], ["v"]).count() == 0
+
+
+def test_values_close_to_each_other_are_narrowed_down(spark):
+    """A million different stamps within a millionth of a percent, nine tenths of them in one group."""
+    n = 1_000_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), (F.lit(1.7e15) + F.col("id") * 7919 % n).alias("v"))
+    few = ordering._narrowed(df, ["g"], "v", {"p50": 0.5, "p99": 0.99}).groupBy("g", "_name").count().collect()
+    assert len(few) == 4 and max(r["count"] for r in few) <= 4
+    got = {r["g"]: (r["p50"], r["p99"]) for r in ordering.nearest_rank(df, ["g"], "v", {"p50": 0.5, "p99": 0.99}).collect()}
+    values = {"a": [], "b": []}
+    for i in range(n):
+        values["b" if i % 10 == 0 else "a"].append(1.7e15 + i * 7919 % n)
+    assert got == {g: (rank(v, 0.5), rank(v, 0.99)) for g, v in values.items()}
+
+
+def test_ranks_of_whole_numbers_and_repeated_values(spark):
+    rng = random.Random(8)
+    values = [rng.choice((3, 3, 3, 4, -7, 0, 2**40 + rng.randrange(5), 10**12 + rng.randrange(10**6))) for _ in range(3000)]
+    got = ordering.nearest_rank(spark.createDataFrame([(v,) for v in values], "v long"), [], "v", {f"q{i}": i / 40 for i in range(41)}).first()
+    assert [got[f"q{i}"] for i in range(41)] == [rank(values, i / 40) for i in range(41)]

@@ -10,9 +10,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tideline.session import pinned
 
+#: parts that the values around an index are cut into, and how often
+_CELLS, _REFINED = 4096, 2
 _PART_SHIFT = 33  # monotonically_increasing_id() keeps the partition above this bit
 
 
@@ -23,9 +26,10 @@ def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
     use, and every recomputation after a lost executor, sees the same rows in the same place.
     ``order`` should tell all rows apart, otherwise rows that tie cannot be spread.
     """
-    numbered = pinned(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
-    )
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    placed.persist(StorageLevel.MEMORY_AND_DISK)  # a checkpoint counts and writes: both from one sort
+    numbered = pinned(placed)
+    placed.unpersist()
     return numbered.withColumns({
         "_part": F.shiftright("_row", _PART_SHIFT),
         "_pos": F.col("_row").bitwiseAND((1 << _PART_SHIFT) - 1),
@@ -79,31 +83,62 @@ def _magnitude(value: str) -> Column:
     return F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(F.lit(0).cast("bigint"))
 
 
+def _cell(value: str) -> Column:
+    """One of ``_CELLS`` equal parts between ``_low`` and ``_high`` that ``value`` falls in; does not fall where it rises."""
+    v, low, high = (F.col(name).cast("double") for name in (value, "_low", "_high"))
+    part = F.floor((v - low) / (high - low) * _CELLS)
+    return F.when(high > low, F.least(part, F.lit(_CELLS - 1))).otherwise(F.lit(0)).cast("bigint")
+
+
+def _chosen(rows: DataFrame, keys: list[str], value: str, places: Callable[[Column], Column]) -> DataFrame:
+    """For each index that is looked for: the cell it is in, the index inside it, and the bounds of its values.
+
+    One small row a cell is counted up in one window; ``places`` gives (name, index) pairs from the number of all values.
+    """
+    shares = rows.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_share"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = shares.withColumns({"_to": F.sum("_share").over(upto), "_total": F.sum("_share").over(whole)})
+    shares = shares.withColumn("_before", F.col("_to") - F.col("_share")).withColumn("_place", F.explode(places(F.col("_total"))))
+    return shares.where("_before <= _place.index and _place.index < _to").withColumn("_index", F.col("_place.index") - F.col("_before"))
+
+
+def _narrowed(
+    df: DataFrame, group: list[str], value: str, quantiles: dict[str, float | Callable[[Column], Column]]
+) -> DataFrame:
+    """The few values around each index: ``group``, ``_name``, value, ``_n`` (how often it comes) and ``_index`` among them."""
+    rows = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn("_cell", _magnitude(value))
+
+    def places(total: Column) -> Column:
+        return F.array(*[F.struct(
+            F.lit(name).alias("name"),
+            (q(total) if callable(q) else F.least(total - 1, F.floor(F.lit(float(q)) * total))).cast("bigint").alias("index"),
+        ) for name, q in quantiles.items()])
+
+    found = _chosen(rows, group, value, places)
+    found = found.select(*group, "_cell", F.col("_place.name").alias("_name"), "_index", "_low", "_high")
+    rows = rows.join(found, [*group, "_cell"])
+    for _ in range(_REFINED):
+        rows = rows.withColumn("_cell", _cell(value)).drop("_low", "_high")
+        # the index is the same in all rows of a name, so it is a key that costs nothing
+        found = _chosen(rows, [*group, "_name", "_index"], value, lambda _: F.array(F.struct(F.col("_index").alias("index"))))
+        found = found.select(*group, F.col("_name"), "_cell", (F.col("_place.index") - F.col("_before")).alias("_inside"), "_low", "_high")
+        rows = rows.drop("_index").join(found, [*group, "_name", "_cell"]).withColumnRenamed("_inside", "_index")
+    return rows
+
+
 def nearest_rank(
     df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float | Callable[[Column], Column]]
 ) -> DataFrame:
     """Exact percentiles per group: the sorted value at index ``min(n - 1, floor(q * n))``, or at that of a function of n.
 
-    Equal values are counted before they travel. Counts per magnitude say in which magnitude an index lies, and only the
-    values of that one are ranked, so one group may hold any share of the rows. Group columns must not be null.
+    Equal values are counted before they travel. Counts per magnitude say in which magnitude an index lies; twice the values
+    of that one are cut into 4,096 equal parts between the least and the largest of them, and counts say in which part the
+    index lies. Only the values of the last part are ranked, so a group may hold any share of the rows, and its values may lie
+    as close to each other as they want. Group columns must not be null.
     """
     group = list(group)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    counted = counted.withColumn("_bucket", _magnitude(value))
-    shares = counted.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_share"))
-    whole = Window.partitionBy(*group)
-    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = shares.withColumns({"_to": F.sum("_share").over(upto), "_total": F.sum("_share").over(whole)})
-    total = F.col("_total")
-    places = [
-        F.struct(F.lit(name).alias("name"), (q(total) if callable(q) else F.least(total - 1, F.floor(F.lit(float(q)) * total)))
-                 .cast("bigint").alias("index")) for name, q in quantiles.items()
-    ]
-    wanted = shares.select(*group, "_bucket", (F.col("_to") - F.col("_share")).alias("_before"), "_to",
-                           F.explode(F.array(*places)).alias("_place"))
-    wanted = wanted.where("_before <= _place.index and _place.index < _to").select(
-        *group, "_bucket", F.col("_place.name").alias("_name"), (F.col("_place.index") - F.col("_before")).alias("_index"))
-    inside = Window.partitionBy(*group, "_bucket", "_name").orderBy(value)
-    ranked = counted.join(wanted, [*group, "_bucket"]).withColumn("_upto", F.sum("_n").over(inside))
+    inside = Window.partitionBy(*group, "_name").orderBy(value)
+    ranked = _narrowed(df, group, value, quantiles).withColumn("_upto", F.sum("_n").over(inside))
     found = ranked.where("_upto - _n <= _index and _index < _upto")
     return found.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in quantiles])
