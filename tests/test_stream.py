@@ -1,10 +1,11 @@
+import pathlib
 import shutil
 
 import pytest
 from helpers import event_rows, events, payloads, raw, summary, write_messages
 from pyspark.sql import functions as F
 
-from tideline.operators import deadletters, metrics, rollup
+from tideline.operators import analytics, deadletters, metrics, rollup
 from tideline.sources import claims, id_index, lake, store, topics
 from tideline.streaming import ingest
 from tideline.streaming.ingest import BadEvent, Ingest
@@ -282,16 +283,17 @@ def test_one_of_two_processes_wins_a_batch(spark, place, monkeypatch):
     original, met = store.commit, []
 
     def commit(session, root, now, name, batch_id, attempt):
-        if not met:
-            met.append(attempt)
-            assert original(session, root, now, name, batch_id, "a-stranger")
-            return False
+        met.append(attempt)
+        for folder in pathlib.Path(root).glob(f"*/run={name}/batch_id={batch_id}/attempt={attempt}"):
+            shutil.copytree(folder, folder.with_name("attempt=a-stranger"))
+        assert original(session, root, now, name, batch_id, "a-stranger")
         return original(session, root, now, name, batch_id, attempt)
 
     monkeypatch.setattr(store, "commit", commit)
     run(spark, Ingest(place["store"], run="a"), place)
     assert len(met) == 1 and store.progress(spark, place["store"]).version == 1
-    assert store.events(spark, place["store"]).count() == 0 and store.dead_letters(spark, place["store"]).count() == 0
+    assert counts(spark, place) == {"events": 30, "stats_total": 30, "mismatched_products": 0}
+    assert store.dead_letters(spark, place["store"]).count() == 1 and store.commits(spark, place["store"]).count() == 1
 
 
 def test_a_note_is_created_once(spark, tmp_path):
@@ -330,3 +332,58 @@ def test_the_index_keeps_few_versions(spark, tmp_path):
     assert id_index.lookup(spark, str(tmp_path), alive).distinct().count() == total
     assert id_index.add(spark, str(tmp_path), alive, ids.limit(0)) == alive
     assert id_index.lookup(spark, str(tmp_path), alive, []).count() == 0 == id_index.lookup(spark, str(tmp_path), []).count()
+
+
+def hours(df):
+    return {(r["hour_epoch"], r["event_type"]): r["n"] for r in df.collect()}
+
+
+def test_late_events_change_the_hours_they_belong_to(spark, place):
+    rows = event_rows(60, step_ms=400_000)
+    write_messages(spark, place["topic"], payloads(spark, rows[20:]))
+    job = Ingest(place["store"], run="a")
+    run(spark, job, place)
+    first = hours(store.hourly_counts(spark, place["store"]))
+    assert first == hours(analytics.hourly_counts(events(spark, rows[20:])))
+    store.fold(spark, place["store"])
+    # events of hours that were over long ago, and copies of those that are stored
+    write_messages(spark, place["topic"], payloads(spark, rows[:30]), first_offset=100)
+    run(spark, job, place)
+    got = hours(store.hourly_counts(spark, place["store"]))
+    assert got == hours(analytics.hourly_counts(events(spark, rows))) and min(got) < min(first)
+    assert store.fold(spark, place["store"]) == 2 and hours(store.hourly_counts(spark, place["store"])) == got
+    assert counts(spark, place) == {"events": 60, "stats_total": 60, "mismatched_products": 0}
+
+
+def test_a_check_reads_the_batches_since_the_last_fold(spark, place):
+    write_messages(spark, place["topic"], payloads(spark, event_rows(200)))
+    job = Ingest(place["store"], run="a")
+    run(spark, job, place)
+    store.fold(spark, place["store"])
+    write_messages(spark, place["topic"], payloads(spark, event_rows(20, first=300)), first_offset=500)
+    run(spark, job, place)
+    checked = store.validate(spark, place["store"])
+    files = checked.inputFiles()
+    assert not [f for f in files if "/folded_events/" in f] and {f.split("batch_id=")[1].split("/")[0] for f in files if "/events/" in f} == {"1"}
+    expected = {"events": 220, "stats_total": 220, "mismatched_products": 0}
+    assert summary(checked) == expected == summary(store.validate(spark, place["store"], full=True))
+    # a wrong delta of one product: its bucket is counted again
+    folder = next(p for p in pathlib.Path(place["store"], "deltas").rglob("batch_id=1/attempt=*"))
+    wrong = spark.read.parquet(str(folder)).collect()
+    schema = spark.read.parquet(str(folder)).schema
+    product = next(r["product_id"] for r in wrong if r["product_id"] is not None)
+    changed = [r if r["product_id"] != product else type(r)(**{**r.asDict(), "view_count": r["view_count"] + 2}) for r in wrong]
+    spark.createDataFrame([tuple(r[f] for f in schema.fieldNames()) for r in changed], schema).coalesce(1).write.mode("overwrite").parquet(str(folder))
+    assert counts(spark, place) == {"events": 220, "stats_total": 222, "mismatched_products": 1}
+    assert summary(store.validate(spark, place["store"], full=True)) == counts(spark, place)
+
+
+def test_checksums_of_parts(spark):
+    given = events(spark, event_rows(300))
+    whole = rollup.product_stats(given)
+    parts = rollup.product_stats(given.where("user_id % 3 = 0")).unionByName(rollup.product_stats(given.where("user_id % 3 <> 0")))
+    assert rollup.differing_buckets(whole, parts).count() == 0
+    swapped = whole.withColumns({"view_count": F.col("search_count"), "search_count": F.col("view_count")})
+    assert rollup.differing_buckets(whole, swapped).count() > 0 and rollup.differing_buckets(whole.limit(0), whole.limit(0)).count() == 0
+    assert {r[0] for r in rollup.differing_buckets(whole, whole.where("product_id <> 7")).collect()} == {
+        whole.where("product_id = 7").select(rollup.bucket()).first()[0]}

@@ -4,7 +4,7 @@ Each micro-batch writes folders of its own attempt, in this order, and then clai
 
 ``events/run=R/batch_id=N/attempt=A/dt=D``     events that were new
 ``dead_letters/run=R/batch_id=N/attempt=A``    messages that were rejected
-``deltas/run=R/batch_id=N/attempt=A``          rollup of the new events
+``deltas/run=R/batch_id=N/attempt=A``          rollup of the new events by product, and by hour
 ``commits/run=R/batch_id=N/attempt=A``         one row with counts
 ``log/V``                                      a note; from here on the attempt counts
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,6 +32,8 @@ from tideline.tables import DEAD_LETTERS, LAKE_EVENTS, LONG, PRODUCT_STATS, REAL
 
 COMMITS = schema(committed_at=TIME, processed=LONG, inserted=LONG, dlq=LONG, sink_ms=REAL)
 _STORED_LETTERS = extended(DEAD_LETTERS, diverted_at=TIME)
+_STATS = extended(PRODUCT_STATS, hour_epoch=LONG)
+_KEYS = ("product_id", "hour_epoch")
 _LOG = schema(version=LONG, run=TEXT, batch_id=LONG, attempt=TEXT)
 
 
@@ -81,10 +83,6 @@ class Progress:
     def has(self, run: str, batch_id: int) -> bool:
         return self.committed.get(run, -1) >= batch_id
 
-    def pending(self) -> Column:
-        # a condition on a partition column: the folders of other attempts are pruned, not read
-        return F.col("attempt").isin([note["attempt"] for note in self.notes]) if self.notes else F.lit(False)
-
 
 def progress(spark: SparkSession, root: str) -> Progress:
     """Reads one note for the last fold and one for each batch after it, whatever the length of the history."""
@@ -95,6 +93,15 @@ def progress(spark: SparkSession, root: str) -> Progress:
     return Progress(**{**vars(last), "notes": notes})
 
 
+def _pending(spark: SparkSession, root: str, table: str, columns: StructType, now: Progress) -> DataFrame:
+    """What the batches since the last fold wrote. Their folders are named, so no others are listed or read."""
+    wanted = extended(columns, run=TEXT, batch_id=LONG, attempt=TEXT)
+    folders = [f"{batch_folder(root, table, note['run'], note['batch_id'])}/attempt={note['attempt']}" for note in now.notes]
+    if not folders:
+        return spark.createDataFrame([], wanted).drop("attempt")
+    return spark.read.schema(wanted).option("basePath", f"{root}/{table}").parquet(*folders).drop("attempt")
+
+
 def commit(spark: SparkSession, root: str, now: Progress, run: str, batch_id: int, attempt: str) -> bool:
     """Make an attempt count that was made from ``now``. False if another commit came first."""
     version = now.version + 1
@@ -109,7 +116,7 @@ def _folded_events(spark: SparkSession, root: str, versions: list[int]) -> DataF
 
 
 def _pending_events(spark: SparkSession, root: str, now: Progress) -> DataFrame:
-    return _read(spark, root, "events", LAKE_EVENTS).where(now.pending()).drop("attempt")
+    return _pending(spark, root, "events", LAKE_EVENTS, now)
 
 
 def events(spark: SparkSession, root: str, now: Progress | None = None) -> DataFrame:
@@ -130,16 +137,32 @@ def dead_letters(spark: SparkSession, root: str) -> DataFrame:
     return letters.withColumn("dlq_offset", F.struct("diverted_at", "run", "batch_id", "source_offset"))
 
 
-def _stats(spark: SparkSession, root: str, now: Progress) -> DataFrame:
-    deltas = _read(spark, root, "deltas", PRODUCT_STATS).where(now.pending()).select(*PRODUCT_STATS.fieldNames())
+def _stats(spark: SparkSession, root: str, now: Progress, merged: bool = True) -> DataFrame:
+    """What the batches counted, by product and by hour; not ``merged``, the parts of the rollup."""
+    parts = _pending(spark, root, "deltas", _STATS, now).select(*_STATS.fieldNames())
+    if now.rollup is not None:
+        parts = parts.unionByName(spark.read.schema(_STATS).parquet(f"{root}/rollup/version={now.rollup}"))
+    return rollup.add_up(parts, by=_KEYS) if merged else parts
+
+
+def _recounts(spark: SparkSession, root: str, now: Progress) -> DataFrame:
+    """What a recount of the event files gives, in parts: of the folded ones as they were counted once, of the others now."""
+    parts = rollup.product_stats(_pending_events(spark, root, now))
     if now.rollup is None:
-        return rollup.add_up(deltas)
-    return rollup.add_up(spark.read.schema(PRODUCT_STATS).parquet(f"{root}/rollup/version={now.rollup}"), deltas)
+        return parts
+    return parts.unionByName(spark.read.schema(PRODUCT_STATS).parquet(f"{root}/recounts/version={now.rollup}"))
 
 
 def product_stats(spark: SparkSession, root: str) -> DataFrame:
     """The rollup: the base of the last fold and the deltas of the batches after it."""
-    return _stats(spark, root, progress(spark, root))
+    return _stats(spark, root, progress(spark, root)).where("hour_epoch IS NULL").drop("hour_epoch")
+
+
+def hourly_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Events by hour and type as the stream keeps them. There is no watermark: a late event changes the hour it belongs to."""
+    hours = _stats(spark, root, progress(spark, root)).where("hour_epoch IS NOT NULL")
+    kinds = F.array(*[F.struct(F.lit(kind).alias("event_type"), F.col(f"{kind}_count").alias("n")) for kind in ("review", "search", "view")])
+    return hours.select("hour_epoch", F.inline(kinds)).where("n > 0")
 
 
 def fold(spark: SparkSession, root: str, rows_per_file: int = ROWS_PER_FILE) -> int:
@@ -163,6 +186,8 @@ def fold(spark: SparkSession, root: str, rows_per_file: int = ROWS_PER_FILE) ->
         .option("compression", "zstd").parquet(f"{root}/folded_events/version={new}")
     )
     _stats(spark, root, now).write.mode("overwrite").parquet(f"{root}/rollup/version={new}")
+    # counted from the files that were just written, once: what a check compares the rollup with
+    rollup.add_up(_recounts(spark, root, now)).write.mode("overwrite").parquet(f"{root}/recounts/version={new}")
     ids = id_index.add(spark, root, now.ids, batches.select("event_id"))
     note = {"fold": now.fold + 1, "through": now.version, "folded": now.committed, "events": [*now.events, new], "rollup": new, "ids": ids}
     claims.create(spark, f"{root}/folds/{claims.number(note['fold'])}", note)
@@ -179,6 +204,26 @@ def ingest_inputs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
     return stored, dead_letters(spark, root).select(F.col("diverted_at").alias("at")), done.select("at", "ms")
 
 
-def validate(spark: SparkSession, root: str) -> DataFrame:
-    """Events, rollup total and products whose rollup does not match a recount."""
-    return rollup.validation_summary(events(spark, root), product_stats(spark, root))
+def validate(spark: SparkSession, root: str, full: bool = False) -> DataFrame:
+    """Events, rollup total and products whose rollup does not match a recount.
+
+    Event files are counted once: those of folded batches when they were folded, those of later batches now. Checksums
+    of buckets of products are compared first, and only buckets that differ are counted again from all their events. ``full``
+    counts all event files again.
+    """
+    now = progress(spark, root)
+    stored = _stats(spark, root, now, merged=False).where("hour_epoch IS NULL").drop("hour_epoch")
+    if full:
+        return rollup.validation_summary(events(spark, root, now), rollup.add_up(stored))
+    recounts = _recounts(spark, root, now)
+    differ = [row["bucket"] for row in rollup.differing_buckets(recounts, stored).collect()]
+    counted = F.col("review_count") + F.col("search_count") + F.col("view_count")
+
+    def total(table: DataFrame, name: str) -> DataFrame:
+        return table.agg(F.coalesce(F.sum(counted), F.lit(0)).cast("bigint").alias(name))
+
+    wrong = spark.range(1).select(F.lit(0).cast("bigint").alias("mismatched_products"))
+    if differ:
+        own = rollup.bucket().isin(differ)
+        wrong = rollup.mismatches(events(spark, root, now).where(own), rollup.add_up(stored).where(own)).agg(F.count("*").alias("mismatched_products"))
+    return total(recounts, "events").crossJoin(total(stored, "stats_total")).crossJoin(wrong)

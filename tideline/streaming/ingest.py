@@ -158,8 +158,8 @@ class Ingest:
             spark, new.schema, lambda: spark.read.schema(new.schema).parquet(folder("events"))
         )
         counted = Observation()
-        rows = F.coalesce(F.sum(F.col("review_count") + F.col("search_count") + F.col("view_count")), F.lit(0))
-        delta = rollup.product_stats(written).observe(counted, rows.alias("rows"))
+        rows = F.when(F.col("hour_epoch").isNull(), F.col("review_count") + F.col("search_count") + F.col("view_count"))
+        delta = rollup.delta(written).observe(counted, F.coalesce(F.sum(rows), F.lit(0)).alias("rows"))
         delta.write.parquet(folder("deltas"))
         write_commit(spark, folder("commits"), totals, counted.get["rows"], started)
 
