@@ -5,7 +5,7 @@ Each micro-batch writes folders of its own attempt, in this order, and then clai
 ``events/run=R/batch_id=N/attempt=A/dt=D``     events that were new
 ``dead_letters/run=R/batch_id=N/attempt=A``    messages that were rejected
 ``deltas/run=R/batch_id=N/attempt=A``          rollup of the new events by product, and by hour
-``commits/run=R/batch_id=N/attempt=A``         one row with counts
+``commits/run=R/batch_id=N/attempt=A``         one JSON row with counts
 ``log/V``                                      a note; from here on the attempt counts
 
 A note is created by one writer only. Who finds the number taken looks at what the winner stored and starts again, so two runs,
@@ -37,9 +37,9 @@ _KEYS = ("product_id", "hour_epoch")
 _LOG = schema(version=LONG, run=TEXT, batch_id=LONG, attempt=TEXT)
 
 
-def _read(spark: SparkSession, root: str, table: str, columns: StructType) -> DataFrame:
+def _read(spark: SparkSession, root: str, table: str, columns: StructType, kind: str = "parquet") -> DataFrame:
     wanted = extended(columns, run=TEXT, batch_id=LONG, attempt=TEXT)
-    return or_empty(spark, wanted, lambda: spark.read.schema(wanted).parquet(f"{root}/{table}"))
+    return or_empty(spark, wanted, lambda: spark.read.schema(wanted).format(kind).load(f"{root}/{table}"))
 
 
 def batch_folder(root: str, table: str, run: str, batch_id: int) -> str:
@@ -53,7 +53,7 @@ def _counting(spark: SparkSession, root: str, table: DataFrame) -> DataFrame:
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
-    return _counting(spark, root, _read(spark, root, "commits", COMMITS))
+    return _counting(spark, root, _read(spark, root, "commits", COMMITS, "json"))
 
 
 @dataclass(frozen=True)
