@@ -13,10 +13,10 @@ from tideline.tables import CATALOG_EXPORT
 HEADER = "code\turl\tproduct_name\tbrands\tcategories_tags\tingredients_text"
 ROWS = [
     '00000000003\tu\tMascara  Noir \t"Lumière, Other"\ten:makeup,en:mascara\t' + '"Aqua, ""Mica"" 2%,\n Parfum"',
-    "00000000001\tu\tFoundation SPF 18 310 Sun Beige\tPetal Lab\t\t" + "Talc, " * 1000 + "Kaolin",
+    "00000000001\tu\tFoundation SPF 30 245 Amber Rose\tPetal Lab\t\t" + "Talc, " * 1000 + "Kaolin",
     "00000000002\tu\tEye makeup remover\tPetal Lab\ten:makeup\t",
     "00000000004\tu\tLip balm\t  \ten:lip-balm\tWax",
-    "00000000005\tu\tVernis (No. 612)\tDune & Co\tfr:vernis\t",
+    "00000000005\tu\tVernis (No. 37)\tDune & Co\tfr:vernis\t",
     "00000000006\tu\tSoap\tDune & Co\ten:soaps\t",
 ]
 
@@ -47,7 +47,7 @@ def test_export_to_catalog(spark, tmp_path):
     assert json.loads(gzip.open(part, "rt", encoding="utf-8").readline())["code"] == "00000000001"
     numbered = catalog.catalog_ids(catalog_files.read_extract(spark, folder)).orderBy("product_id").collect()
     assert [(r["product_id"], r["shade_id"], r["shade_name"]) for r in numbered] == [
-        (1, 10, "310 Sun Beige"), (2, 20, "unspecified"), (3, 30, "No. 612")]
+        (1, 10, "245 Amber Rose"), (2, 20, "unspecified"), (3, 30, "No. 37")]
 
 
 def test_load_and_refresh(spark, tmp_path, monkeypatch):
@@ -82,9 +82,9 @@ def test_load_and_refresh(spark, tmp_path, monkeypatch):
 
 
 def test_duplicate_products(spark):
-    rows = [(1, "Couleurs Nature, Yves Rocher", "Poudre libre veloutée"), (2, "couleurs nature", "POUDRE  LIBRE VELOUTEE"), (3, "x", "y")]
+    rows = [(1, "Maison Été, Atelier Sud", "Crème légère dorée"), (2, "maison été", "CREME  LEGERE DOREE"), (3, "x", "y")]
     table = refresh.refresh_products(spark.createDataFrame(rows, "product_id int, brand string, raw_name string"))
-    assert [tuple(r) for r in refresh.duplicate_products(table).collect()] == [("couleurs nature|poudre libre veloutee", 2)]
+    assert [tuple(r) for r in refresh.duplicate_products(table).collect()] == [("maison ete|creme legere doree", 2)]
     assert table.where(F.col("refreshed_at").isNull()).count() == 0
 
 

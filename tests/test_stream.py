@@ -387,3 +387,18 @@ def test_checksums_of_parts(spark):
     assert rollup.differing_buckets(whole, swapped).count() > 0 and rollup.differing_buckets(whole.limit(0), whole.limit(0)).count() == 0
     assert {r[0] for r in rollup.differing_buckets(whole, whole.where("product_id <> 7")).collect()} == {
         whole.where("product_id = 7").select(rollup.bucket()).first()[0]}
+
+
+def test_one_product_reads_one_shelf(spark, place):
+    rows = event_rows(400)
+    write_messages(spark, place["topic"], payloads(spark, rows[:300]))
+    job = Ingest(place["store"], run="a")
+    run(spark, job, place)
+    store.fold(spark, place["store"])
+    write_messages(spark, place["topic"], payloads(spark, rows[300:]), first_offset=500)
+    run(spark, job, place)
+    found = store.product_one(spark, place["store"], 7)
+    assert len({f for f in found.inputFiles() if "/rollup/" in f}) == 1
+    expected = rollup.product_stats(events(spark, rows)).where("product_id = 7").collect()
+    assert found.select(*expected[0].asDict()).collect() == expected
+    assert analytics.rollup_one(found, 7).count() == 1 and store.product_one(spark, place["store"], 10**6).count() == 0

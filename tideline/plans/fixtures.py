@@ -122,7 +122,7 @@ FROM part
 VIEWS["catalog_raw"] = """
 SELECT doc_id, lpad(CAST(doc_id AS {S}), 12, '0') AS code,
  CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' Lumière, Other ' WHEN 2 THEN 'LUMIERE' WHEN 3 THEN 'Dune & Co' ELSE 'Petal Lab' END AS brands,
- CASE doc_id % 7 WHEN 0 THEN 'Mascara Noir' WHEN 1 THEN 'Foundation SPF 18 310 Sun Beige' WHEN 2 THEN 'Vernis (No. 612)'
+ CASE doc_id % 7 WHEN 0 THEN 'Mascara Noir' WHEN 1 THEN 'Foundation SPF 30 245 Amber Rose' WHEN 2 THEN 'Vernis (No. 37)'
   WHEN 3 THEN 'Eye makeup remover' WHEN 4 THEN 'MASCARA  NOIR' WHEN 5 THEN 'Hair gel' ELSE 'Rouge Pur 03 Rose' END AS product_name,
  CASE doc_id % 4 WHEN 0 THEN 'en:cosmetics,en:makeup,en:lipstick' WHEN 1 THEN '' WHEN 2 THEN 'en:makeup,en:cosmetics' ELSE 'fr:vernis' END AS categories_tags,
  concat('Ingredients: ', replace(replace(text, '. ', '; '), ' and ', '/')) AS ingredients_text

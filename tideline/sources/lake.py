@@ -128,7 +128,10 @@ def _rewrite(spark: SparkSession, root: str, raw: DataFrame, rows_per_file: int)
     (
         kept.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*EVENT_COLUMNS, "copies", "dt")
         .write.partitionBy("dt").option("compression", "zstd")
-        .option("parquet.block.row.count.limit", str(fixed.ROW_GROUP_ROWS)).parquet(folder)
+        .option("parquet.block.row.count.limit", str(fixed.ROW_GROUP_ROWS))
+        # files are sorted by product, so statistics skip most row groups for a product; Bloom filters those it could be in
+        .option("parquet.bloom.filter.enabled#product_id", "true")
+        .option("parquet.bloom.filter.expected.ndv#product_id", str(fixed.ROW_GROUP_ROWS)).parquet(folder)
     )
     written = spark.read.parquet(folder)
     files = {dt: len(paths) for dt, paths in _files_by_day(written).items()}

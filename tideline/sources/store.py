@@ -20,7 +20,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,12 +28,14 @@ from tideline.operators import rollup
 from tideline.sources import claims, id_index
 from tideline.sources.lake import ROWS_PER_FILE
 from tideline.sources.logs import or_empty
-from tideline.tables import DEAD_LETTERS, LAKE_EVENTS, LONG, PRODUCT_STATS, REAL, TEXT, TIME, extended, schema
+from tideline.tables import DEAD_LETTERS, INT, LAKE_EVENTS, LONG, PRODUCT_STATS, REAL, TEXT, TIME, extended, schema
 
 COMMITS = schema(committed_at=TIME, processed=LONG, inserted=LONG, dlq=LONG, sink_ms=REAL)
 _STORED_LETTERS = extended(DEAD_LETTERS, diverted_at=TIME)
 _STATS = extended(PRODUCT_STATS, hour_epoch=LONG)
 _KEYS = ("product_id", "hour_epoch")
+#: folders that a rollup base is dealt to by product
+SHELVES = 32
 _LOG = schema(version=LONG, run=TEXT, batch_id=LONG, attempt=TEXT)
 
 
@@ -141,10 +143,32 @@ def _stats(spark: SparkSession, root: str, now: Progress, merged: bool = True) -
     """What the batches counted, by product and by hour; not ``merged``, the parts of the rollup."""
     parts = _pending(spark, root, "deltas", _STATS, now).select(*_STATS.fieldNames())
     if now.rollup is not None:
-        parts = parts.unionByName(spark.read.schema(_STATS).parquet(f"{root}/rollup/version={now.rollup}"))
+        parts = parts.unionByName(_base(spark, root, now))
     return rollup.add_up(parts, by=_KEYS) if merged else parts
 
 
+def _base(spark: SparkSession, root: str, now: Progress, shelf: int | None = None) -> DataFrame:
+    """The rollup as the last fold left it; of one ``shelf`` only that folder is listed and read."""
+    base = f"{root}/rollup/version={now.rollup}"
+    wanted, folder = extended(_STATS, shelf=INT), base if shelf is None else f"{base}/shelf={shelf}"
+    return or_empty(spark, wanted, lambda: spark.read.schema(wanted).option("basePath", base).parquet(folder)).drop("shelf")
+
+
+def _shelf() -> Column:
+    return F.coalesce(F.pmod(F.xxhash64("product_id"), F.lit(SHELVES)).cast("int"), F.lit(-1))
+
+
+def product_one(spark: SparkSession, root: str, product: int) -> DataFrame:
+    """The rollup of one product, no row for an unknown one: reads a shelf of the base and the deltas after it."""
+    now = progress(spark, root)
+    one = (F.col("product_id") == product) & F.col("hour_epoch").isNull()
+    parts = _pending(spark, root, "deltas", _STATS, now).select(*_STATS.fieldNames()).where(one)
+    if now.rollup is not None:
+        shelf = spark.range(1).select(F.lit(product).cast("int").alias("product_id")).select(_shelf().alias("n")).first()["n"]
+        parts = parts.unionByName(_base(spark, root, now, shelf).where(one))
+    return rollup.add_up(parts)
+
+
 def _recounts(spark: SparkSession, root: str, now: Progress) -> DataFrame:
     """What a recount of the event files gives, in parts: of the folded ones as they were counted once, of the others now."""
     parts = rollup.product_stats(_pending_events(spark, root, now))
@@ -185,7 +209,11 @@ def fold(spark: SparkSession, root: str, rows_per_file: int = ROWS_PER_FILE) ->
         .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("dt")
         .option("compression", "zstd").parquet(f"{root}/folded_events/version={new}")
     )
-    _stats(spark, root, now).write.mode("overwrite").parquet(f"{root}/rollup/version={new}")
+    shelved = _stats(spark, root, now).withColumn("shelf", _shelf())
+    (
+        shelved.repartition("shelf").sortWithinPartitions("shelf", "product_id")
+        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("shelf").parquet(f"{root}/rollup/version={new}")
+    )
     # counted from the files that were just written, once: what a check compares the rollup with
     rollup.add_up(_recounts(spark, root, now)).write.mode("overwrite").parquet(f"{root}/recounts/version={new}")
     ids = id_index.add(spark, root, now.ids, batches.select("event_id"))
