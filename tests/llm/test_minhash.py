@@ -74,3 +74,35 @@ def test_unrelated_long_texts(spark):
     assert minhash.likeness(*(minhash.signature(text.encode()) for text in (one, one + " " + other[:1_000_000]))) > 0.7
     pairs, members = minhash.similar_pairs(odd.documents(spark, [(1, one), (2, other), (3, one.upper())]))
     assert dict(odd.rows_of(members)) == {1: 1, 2: 2, 3: 1} and pairs.count() == 0
+
+
+def test_similar_links_connect_what_is_similar(spark):
+    """Groups of near copies, one of them large, and a chain whose ends are not similar to each other."""
+    pick = random.Random(9)
+    rows = []
+    for group, copies in enumerate([2, 3, 5, 150]):
+        words = [f"g{group}w{pick.randrange(900)}" for _ in range(300)]
+        for copy in range(copies):
+            other = list(words)
+            for place in pick.sample(range(300), 3):
+                other[place] = f"c{copy}p{place}"
+            rows.append((group * 1000 + copy, " ".join(other)))
+    words = [f"chain{i}" for i in range(200)]
+    for step in range(12):
+        rows.append((9000 + step, " ".join(words[:200 - 15 * step] + [f"next{i}" for i in range(15 * step)])))
+    rows += [(20, None), (21, ""), (None, "no id"), (22, "one"), (23, "ONE"), (1, rows[1][1])]
+    links, members = minhash.similar_links(odd.documents(spark, rows))
+    links, own = links.collect(), dict(odd.rows_of(members))
+    sets = {i: set(minhash.shingles((t or "").encode()).tolist()) for i, t in rows if i is not None}
+    label = dict(own)
+    for r in links:
+        assert len(sets[r["a"]] & sets[r["b"]]) >= 0.8 * len(sets[r["a"]] | sets[r["b"]])
+        old, new = sorted((label[r["a"]], label[r["b"]]), reverse=True)
+        label = {i: new if c == old else c for i, c in label.items()}
+    for a in sets:
+        for b in sets:
+            if sets[a] | sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                assert label[a] == label[b]
+    assert len(links) < 6 * len(rows) and own[23] == 22 and own[21] == 20
+    links, members = minhash.similar_links(odd.empty(spark))
+    assert links.count() == members.count() == 0

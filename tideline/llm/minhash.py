@@ -10,6 +10,8 @@ range is dealt to the range before as well, so each range reads its documents in
 of the ranges are ids of documents (approximate percentiles), no more than shuffle partitions.
 
 ``similar_pairs`` joins bands of fingerprints, one row for equal sets of shingles, and verifies the Jaccard of what agrees.
+``similar_links`` gives links enough to connect what is similar, in number as the rows: in a band all are compared with the
+smallest first, and those that are not similar to it among themselves again.
 
 A null text is an empty text. Rows with a null id have no next document: their last quarter is cut off. Rows that repeat
 under one id follow each other, by their packed text. An empty table gives an empty result.
@@ -151,13 +153,8 @@ def edited(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                                          "edited_fingerprint string, near_edited double, near_next double")
 
 
-def similar_pairs(df: DataFrame, threshold: float = LIKE, bands: int = BANDS, id_column: str = "doc_id",
-                  text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a``, ``b``, ``jaccard`` of representatives, and ``doc_id`` with its ``representative``.
-
-    Documents with equal sets of shingles have one representative, the smallest id. Two that agree in some band are compared
-    in the join itself, in the first band they share; what is alike enough (less a margin of 0.15) is verified on its texts.
-    """
+def _representatives(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts with an id, one node (with its fingerprint) for each set of shingles, and each document's representative."""
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text")).where(
         "doc_id is not null")
 
@@ -170,6 +167,38 @@ def similar_pairs(df: DataFrame, threshold: float = LIKE, bands: int = BANDS, id
     prints = pinned(arrow_map(texts, judge, "doc_id long, fingerprint string, set binary"))
     nodes = pinned(prints.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("fingerprint").alias("fingerprint")))
     members = prints.select("doc_id", "set").join(nodes, "set").select("doc_id", F.col("node").alias("representative"))
+    return texts, nodes, members
+
+
+def _node_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The packed text of each node."""
+    packed = packed_texts(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
+    return packed.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """``a``, ``b`` and the ``jaccard`` of their texts' shingles."""
+
+    def verify(batch):
+        found = []
+        for one, two in zip(unpack(batch.column(2)), unpack(batch.column(3)), strict=True):
+            x, y = np.unique(shingles(one)), np.unique(shingles(two))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "jaccard"])
+
+    sided = pairs.join(packed.toDF("a", "one"), "a").join(packed.toDF("b", "two"), "b").select("a", "b", "one", "two")
+    return arrow_map(sided, verify, "a long, b long, jaccard double")
+
+
+def similar_pairs(df: DataFrame, threshold: float = LIKE, bands: int = BANDS, id_column: str = "doc_id",
+                  text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a``, ``b``, ``jaccard`` of representatives, and ``doc_id`` with its ``representative``.
+
+    Documents with equal sets of shingles have one representative, the smallest id. Two that agree in some band are compared
+    in the join itself, in the first band they share; what is alike enough (less a margin of 0.15) is verified on its texts.
+    """
+    texts, nodes, members = _representatives(df, id_column, text_column)
     size = 4 * HASHES // bands
     cut = F.array(*[F.substring("fingerprint", 1 + i * size, size) for i in range(bands)])
     rows = nodes.select("node", "fingerprint", F.posexplode(cut).alias("band", "key"))
@@ -185,18 +214,40 @@ def similar_pairs(df: DataFrame, threshold: float = LIKE, bands: int = BANDS, id
     met = rows.join(other, ["band", "key"]).where((F.col("node") < F.col("b")) & first & (alike >= (threshold - 0.15) * HASHES))
     pairs = pinned(met.select(F.col("node").alias("a"), "b"))
 
-    def verify(batch):
-        found = []
-        for one, two in zip(unpack(batch.column(2)), unpack(batch.column(3)), strict=True):
-            x, y = np.unique(shingles(one)), np.unique(shingles(two))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            found.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "jaccard"])
+    return _verified(pairs, _node_texts(texts, nodes)).where(F.col("jaccard") >= threshold), members
 
-    packed = packed_texts(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
-    packed = packed.groupBy("doc_id").agg(F.min("text").alias("text"))
-    sided = pairs.join(packed.toDF("a", "one"), "a").join(packed.toDF("b", "two"), "b").select("a", "b", "one", "two")
-    return arrow_map(sided, verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold), members
+
+def similar_links(df: DataFrame, threshold: float = LIKE, bands: int = BANDS, id_column: str = "doc_id",
+                  text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Verified links ``a``, ``b``, ``jaccard`` of representatives, and ``doc_id`` with its ``representative``.
+
+    Of the nodes that share a band all are compared with the smallest one; those that are not similar to it stay for another
+    round among themselves, until no band has two. So a band of n near copies costs n comparisons, and a pair is
+    compared once however many bands it shares. Rows without an id take no part; an empty table gives no links.
+    """
+    texts, nodes, members = _representatives(df, id_column, text_column)
+    size = 4 * HASHES // bands
+    cut = F.array(*[F.substring("fingerprint", 1 + i * size, size) for i in range(bands)])
+    rows = nodes.select("node", F.posexplode(cut).alias("band", "key"))
+    shared = rows.groupBy(F.col("band").alias("in"), F.col("key").alias("as")).agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    met = rows.join(pinned(shared), (F.col("band") == F.col("in")) & (F.col("key") == F.col("as"))).where("node <> hub")
+    met = pinned(met.select("band", "key", "node", "hub"))
+    met_nodes = met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()
+    packed = pinned(_node_texts(texts, met_nodes))
+    judged = None
+    while met.count():
+        pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        new = pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti")
+        found = _verified(new, packed)
+        judged = pinned(found if judged is None else judged.unionByName(found))
+        like = judged.where(F.col("jaccard") >= threshold).select(F.col("a").alias("of"), F.col("b").alias("to"))
+        left = pinned(met.join(like, (F.col("hub") == F.col("of")) & (F.col("node") == F.col("to")), "left_anti").select("band", "key", "node"))
+        hubs = left.groupBy(F.col("band").alias("in"), F.col("key").alias("as")).agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+        met = left.join(pinned(hubs), (F.col("band") == F.col("in")) & (F.col("key") == F.col("as"))).where("node <> hub")
+        met = pinned(met.select("band", "key", "node", "hub"))
+    if judged is None:
+        judged = df.sparkSession.createDataFrame([], "a long, b long, jaccard double")
+    return judged.where(F.col("jaccard") >= threshold), members
 
 
 def digest_rows(df: DataFrame) -> DataFrame:
