@@ -128,3 +128,12 @@ def test_completion(spark):
     table = spark.createDataFrame([("a", 11, 4), ("b", 1, 0)], "run string, sent long, target long")
     got = {tuple(r) for r in metrics.completion(windows, samples, table).collect()}
     assert got == {("a", 11, 3, True, False), ("b", 0, 0, False, False)}
+
+
+def test_log_lines_with_bare_nan(spark, tmp_path):
+    write(tmp_path / "n" / "consumer-0.jsonl", [window(T0, 3, e2e_p50_ms=float("nan"), e2e_p99_ms=float("inf")), window(T0 + 1, 4),
+                                                 '{"ts": NaN, "processed": 5, "lag":-Infinity}'])
+    rows = {r["processed"]: r for r in logs.metric_windows(spark, f"{tmp_path}/*/consumer-*.jsonl").collect()}
+    assert set(rows) == {3, 4, 5}
+    assert rows[3]["e2e_p50_ms"] != rows[3]["e2e_p50_ms"] and rows[3]["e2e_p99_ms"] == float("inf") and rows[3]["ts"] == T0
+    assert rows[5]["ts"] != rows[5]["ts"] and rows[4]["e2e_p50_ms"] == 1.0

@@ -32,16 +32,22 @@ def _field(name: str, kind: T.DataType):
     """A field of the document: a number in any spelling keeps its value, what is no such value is null."""
     value = F.try_variant_get("_doc", f"$.{name}", kind.simpleString())
     if isinstance(kind, T.LongType):
-        value = F.coalesce(value, F.try_variant_get("_doc", f"$.{name}", "double").cast("bigint"))
+        value = F.coalesce(value, F.try_variant_get("_doc", f"$.{name}", "double").try_cast("bigint"))
     return value.alias(name)
 
 
+def _document(line: str):
+    """A line as a variant. Bare ``NaN`` and ``Infinity``, which no JSON has but some writers write, become texts of that name."""
+    named = F.regexp_replace(line, r"(?<=[:,\[])(\s*)(NaN|-?Infinity)(?=\s*[,}\]])", '$1"$2"')
+    return F.coalesce(F.try_parse_json(line), F.try_parse_json(named))
+
+
 def _json_lines(spark: SparkSession, schema: T.StructType, path: str, run: str | None, consumer: str | None = None) -> DataFrame:
     """Every line that is a JSON object. Only other lines are left out; a field of an other type is null."""
     named = [(name, column) for name, column in ((run, _run_of_file), (consumer, _name_of_file)) if name]
 
     def read() -> DataFrame:
-        lines = spark.read.text(path).select(F.try_parse_json("value").alias("_doc"), *[c().alias(n) for n, c in named])
+        lines = spark.read.text(path).select(_document("value").alias("_doc"), *[c().alias(n) for n, c in named])
         objects = lines.where(F.schema_of_variant("_doc").startswith("OBJECT"))
         return objects.select(*[n for n, _ in named], *[_field(f.name, f.dataType) for f in schema.fields])
 
