@@ -12,8 +12,8 @@ that a third of all documents hold costs one value per group.
 2. Candidate windows are the edges. Each group sends its nodes with the word before and after; a node with two different
    ones anywhere, or where a sequence of candidates starts or ends, is a break.
 3. Sequences of candidates are cut at breaks: the compacted paths. Equal paths (two independent 64-bit hashes over all their
-   words) meet in a Spark join that gives the smallest document of each and its place.
-4. The words that such paths cover in larger documents are removed.
+   words) meet in a Spark join that gives the smallest document of each.
+4. The words that such paths cover in larger documents are removed, by the places that each group sent along with its paths.
 
 Collisions of the short hashes of steps 1 and 2 only make more candidates and breaks. A null text has no words. Rows with a
 null id keep all words and count for nothing; rows that repeat under one id are one document; an empty table gives an empty
@@ -23,6 +23,7 @@ result.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ BUCKET_BYTES = 64 << 20
 _U = np.uint64
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _CONFLICT = np.uint32(0xFFFFFFFF)
-_REPLY = "group int, kind int, codes binary, high long, low long, first long"
+_REPLY = "group int, kind int, codes binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -164,9 +165,18 @@ def _replies(table: pa.Table, kind: int) -> np.ndarray:
     return np.sort(np.concatenate(told)) if told else np.zeros(0, _U)
 
 
-def _firsts(table: pa.Table) -> dict[tuple[int, int], int]:
-    return {(high, low): first for kind, high, low, first in zip(
-        *[table.column(name).to_pylist() for name in ("kind", "high", "low", "first")], strict=True) if kind == 3}
+#: where a document, named by its id and the checksum of its text, holds a path: its first window and its last
+_SPAN = np.dtype([("doc", "<i8"), ("text", "<u4"), ("first", "<u4"), ("last", "<u4")])
+
+
+def _lost(table: pa.Table) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """By document, the spans of paths that a smaller document holds."""
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for spans, first in zip(table.column("codes").to_pylist(), table.column("first").to_pylist(), strict=True):
+        spans = np.frombuffer(spans, _SPAN)
+        for doc, text, start, end in spans[spans["doc"] > first].tolist():
+            found.setdefault((doc, text), []).append((start, end))
+    return found
 
 
 def _table(schema: str, *columns) -> pa.Table:
@@ -197,8 +207,8 @@ def _tell(groups, arrays, keep, bucket, kind) -> pa.Table:
     rows = []
     for group, own in zip(groups, arrays, strict=True):
         if len(hit := own[_within(own, keep)]):
-            rows.append((group, kind, (hit.astype(_U) | _U(bucket << 32)).astype("<u8").tobytes(), None, None, None))
-    return _table(_REPLY, *(zip(*rows, strict=True) if rows else [()] * 6))
+            rows.append((group, kind, (hit.astype(_U) | _U(bucket << 32)).astype("<u8").tobytes()))
+    return _table(_REPLY, *(zip(*rows, strict=True) if rows else [()] * 3))
 
 
 def _repeated_anchors(table: pa.Table) -> pa.Table:
@@ -251,53 +261,51 @@ def _breaks(table: pa.Table) -> pa.Table:
     return _tell(table.column("group").to_pylist(), arrays, keep, table.column("bucket")[0].as_py(), 2)
 
 
-def _paths_of(table, told, size, bits):
-    known, breaks = _replies(told, 1), _replies(told, 2)
-    for i, own, text in _documents(table):
-        words, paths = Words(text, size, bits), None
-        if words.n and own is not None and len(known):
-            candidate = _within(words.anchors(), known)
-            if candidate.any():
-                paths = words.paths(candidate, breaks)
-        yield own, words, paths
-
-
 def _send_paths(size, bits):
-    schema = "group int, high long, low long, doc long, last_doc long, place long"
+    schema = "group int, high long, low long, doc long, last_doc long, spans binary"
 
     def send(key, table: pa.Table, told: pa.Table) -> pa.Table:
-        first: dict[tuple[int, int], tuple[int, int]] = {}
-        last: dict[tuple[int, int], int] = {}
-        for own, _, paths in _paths_of(table, told, size, bits):
-            if paths is not None:
-                for place, high, low in zip(paths[0].tolist(), paths[2].tolist(), paths[3].tolist(), strict=True):
-                    first[high, low] = min(first.get((high, low), (own, place)), (own, place))
-                    last[high, low] = max(last.get((high, low), own), own)
-        group = key[0].as_py()
-        rows = [(group, *path, doc, last[path], place) for path, (doc, place) in first.items()]
-        return _table(schema, *(zip(*rows, strict=True) if rows else [()] * 6))
+        """Each path of the group once, with its smallest and largest document, and where all of them hold it."""
+        known, breaks, found = _replies(told, 1), _replies(told, 2), []
+        for _, own, text in _documents(table):
+            words = Words(text, size, bits)
+            if words.n and own is not None and len(known):
+                candidate = _within(words.anchors(), known)
+                if candidate.any():
+                    first, last, high, low = words.paths(candidate, breaks)
+                    span = np.empty(len(first), _SPAN)
+                    span["doc"], span["text"], span["first"], span["last"] = own, zlib.crc32(text), first, last
+                    found.append((high, low, span))
+        if not found:
+            return _table(schema, *[()] * 6)
+        high, low, span = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((span["first"], span["doc"], low, high))
+        high, low, span = high[order], low[order], span[order]
+        start = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        end = np.r_[start[1:], len(span)]
+        packed = span.tobytes()
+        spans = [packed[a * _SPAN.itemsize:b * _SPAN.itemsize] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return _table(schema, np.full(len(start), key[0].as_py(), np.int32), high[start], low[start], span["doc"][start],
+                      span["doc"][end - 1], spans)
 
     return send, schema
 
 
-def _remove(size, bits, row_type):
+def _remove(size, row_type):
     def apply(key, table: pa.Table, told: pa.Table) -> pa.Table:
-        firsts = _firsts(told)
+        lost = _lost(told)
         kept, n_words, n_removed = [], [], []
-        for own, words, paths in _paths_of(table, told, size, bits):
-            stay = words.words
-            if paths is not None:
-                gone = np.zeros(len(stay) + 1, np.int64)
-                for first, last, high, low in zip(*[x.tolist() for x in paths], strict=True):
-                    if firsts.get((high, low), own) < own:
-                        gone[first] += 1
-                        gone[last + size] -= 1
-                covered = np.cumsum(gone[:-1]) > 0
-                if covered.any():
-                    stay = [word for word, out in zip(stay, covered.tolist(), strict=True) if not out]
+        for _, own, text in _documents(table):
+            words = stay = text.split()
+            if spans := lost.get((own, zlib.crc32(text))):
+                gone = np.zeros(len(words) + 1, np.int64)
+                for first, last in spans:
+                    gone[first] += 1
+                    gone[last + size] -= 1
+                stay = [word for word, out in zip(words, (np.cumsum(gone[:-1]) > 0).tolist(), strict=True) if not out]
             kept.append(b" ".join(stay))
-            n_words.append(len(words.words))
-            n_removed.append(len(words.words) - len(stay))
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(stay))
         return pa.table([table.column("row"), pa.array(kept, pa.binary()), pa.array(n_words, pa.int64()),
                          pa.array(n_removed, pa.int64())], names=["row", "kept", "n_words", "n_removed"])
 
@@ -316,8 +324,8 @@ def _deal(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, i
     return rows.withColumn("group", group).repartition(tasks, "group"), bits
 
 
-def _steps(dealt: DataFrame, size: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """What the groups are told in the end, and the paths with their first document."""
+def _steps(dealt: DataFrame, size: int, bits: int) -> DataFrame:
+    """For each group the paths that a smaller document than one of its own holds, and where its documents hold them."""
     texts = dealt.groupBy("group")
 
     def with_told(told, step):
@@ -328,21 +336,19 @@ def _steps(dealt: DataFrame, size: int, bits: int) -> tuple[DataFrame, DataFrame
     told = texts.applyInArrow(function, schema).groupBy("bucket").applyInArrow(_repeated_anchors, _REPLY)
     nodes = with_told(told, _send_nodes(size, bits))
     told = told.unionByName(nodes.groupBy("bucket").applyInArrow(_breaks, _REPLY))
-    paths = with_told(told, _send_paths(size, bits))
-    first = paths.groupBy("high", "low").agg(F.min(F.struct("doc", "place")).alias("source"), F.max("last_doc").alias("last"))
-    first = first.where("source.doc < last").select("high", "low", F.col("source.doc").alias("first"),
-                                                    F.col("source.place").alias("source_place"))
-    met = paths.join(first, ["high", "low"]).where("last_doc > first")
-    answer = met.select("group", F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("codes"), "high", "low", "first")
-    return told.unionByName(answer), first
+    # dealt once, for the first document of each path and for the join with it: a path is found in one pass over the texts
+    paths = with_told(told, _send_paths(size, bits)).repartition(partitions(dealt.sparkSession), "high", "low")
+    first = paths.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("last_doc").alias("last")).where("first < last")
+    met = paths.join(first.select("high", "low", "first"), ["high", "low"]).where("last_doc > first")
+    return met.select("group", F.col("spans").alias("codes"), "first")
 
 
 def dedup(df: DataFrame, size: int = SIZE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``df`` as ``row``, with ``kept`` (the words that stay, joined by a space), ``n_words``, ``n_removed``."""
     dealt, bits = _deal(df, id_column, text_column)
-    told, _ = _steps(dealt, size, bits)
-    function, schema = _remove(size, bits, dealt.schema["row"].dataType.simpleString())
-    return dealt.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(function, schema)
+    lost = _steps(dealt, size, bits)
+    function, schema = _remove(size, dealt.schema["row"].dataType.simpleString())
+    return dealt.groupBy("group").cogroup(lost.groupBy("group")).applyInArrow(function, schema)
 
 
 def digest_rows(df: DataFrame) -> DataFrame:
