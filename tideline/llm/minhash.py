@@ -10,8 +10,8 @@ range is dealt to the range before as well, so each range reads its documents in
 of the ranges are ids of documents (approximate percentiles), no more than shuffle partitions.
 
 ``similar_pairs`` joins bands of fingerprints, one row for equal sets of shingles, and verifies the Jaccard of what agrees.
-``similar_links`` gives links enough to connect what is similar, in number as the rows: in a band all are compared with the
-smallest first, and those that are not similar to it among themselves again.
+``similar_links`` gives links enough to connect what is similar, in number as the rows: in a band all are compared with two
+of them, and only those that are similar to neither with all.
 
 A null text is an empty text. Rows with a null id have no next document: their last quarter is cut off. Rows that repeat
 under one id follow each other, by their packed text. An empty table gives an empty result.
@@ -221,33 +221,45 @@ def similar_links(df: DataFrame, threshold: float = LIKE, bands: int = BANDS, id
                   text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links ``a``, ``b``, ``jaccard`` of representatives, and ``doc_id`` with its ``representative``.
 
-    Of the nodes that share a band all are compared with the smallest one; those that are not similar to it stay for another
-    round among themselves, until no band has two. So a band of n near copies costs n comparisons, and a pair is
-    compared once however many bands it shares. Rows without an id take no part; an empty table gives no links.
+    All nodes that share a band are compared with the smallest one, the hub; those that are not similar to it with a second
+    hub, the smallest of them, and so are those that are. Nodes that are similar to neither hub are compared with all
+    of their band, by fingerprints inside the join and then by their texts. So a band of n near copies costs 2n comparisons;
+    not compared in a band are nodes that are similar to one hub each. Rows without an id take no part; an empty table gives no
+    links.
     """
     texts, nodes, members = _representatives(df, id_column, text_column)
-    size = 4 * HASHES // bands
+    size, at = 4 * HASHES // bands, ["band", "key"]
     cut = F.array(*[F.substring("fingerprint", 1 + i * size, size) for i in range(bands)])
-    rows = nodes.select("node", F.posexplode(cut).alias("band", "key"))
-    shared = rows.groupBy(F.col("band").alias("in"), F.col("key").alias("as")).agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    met = rows.join(pinned(shared), (F.col("band") == F.col("in")) & (F.col("key") == F.col("as"))).where("node <> hub")
-    met = pinned(met.select("band", "key", "node", "hub"))
-    met_nodes = met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()
-    packed = pinned(_node_texts(texts, met_nodes))
-    judged = None
-    while met.count():
-        pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        new = pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti")
-        found = _verified(new, packed)
-        judged = pinned(found if judged is None else judged.unionByName(found))
-        like = judged.where(F.col("jaccard") >= threshold).select(F.col("a").alias("of"), F.col("b").alias("to"))
-        left = pinned(met.join(like, (F.col("hub") == F.col("of")) & (F.col("node") == F.col("to")), "left_anti").select("band", "key", "node"))
-        hubs = left.groupBy(F.col("band").alias("in"), F.col("key").alias("as")).agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        met = left.join(pinned(hubs), (F.col("band") == F.col("in")) & (F.col("key") == F.col("as"))).where("node <> hub")
-        met = pinned(met.select("band", "key", "node", "hub"))
-    if judged is None:
-        judged = df.sparkSession.createDataFrame([], "a long, b long, jaccard double")
-    return judged.where(F.col("jaccard") >= threshold), members
+    rows = nodes.select("node", "fingerprint", F.posexplode(cut).alias("band", "key"))
+
+    def hubs(table: DataFrame) -> DataFrame:
+        # written out, so that both sides of the join with it are dealt anew and a band of very many nodes can be split
+        return pinned(table.groupBy(F.col("band").alias("in"), F.col("key").alias("as")).agg(F.min("node").alias("hub"), F.count("*").alias("n")))
+
+    def with_hub(table: DataFrame, found: DataFrame) -> DataFrame:
+        met = table.join(found, (F.col("band") == F.col("in")) & (F.col("key") == F.col("as")))
+        return met.where("node <> hub").select(*at, "node", "fingerprint", "hub")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pinned(_verified(pairs, packed).where(F.col("jaccard") >= threshold))
+
+    def unlike(table: DataFrame, links: DataFrame) -> DataFrame:
+        told = links.select(F.col("a").alias("of"), F.col("b").alias("to"))
+        return table.join(told, (F.least("hub", "node") == F.col("of")) & (F.greatest("hub", "node") == F.col("to")), "left_anti")
+
+    hub_pair = [F.col("hub").alias("a"), F.col("node").alias("b")]
+    met = pinned(with_hub(rows, hubs(rows).where("n > 1")))
+    packed = pinned(_node_texts(texts, met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()))
+    first = compared(met.select(*hub_pair))
+    rest = pinned(unlike(met, first).drop("hub"))
+    again = with_hub(met.drop("hub"), hubs(rest))
+    second = compared(again.select(*hub_pair))
+    far = unlike(with_hub(rest, hubs(rest)), second).drop("hub").select(*at, F.col("node").alias("far"), F.col("fingerprint").alias("other"))
+    alike = sum([(F.substring("fingerprint", 1 + 4 * i, 4) == F.substring("other", 1 + 4 * i, 4)).cast("int") for i in range(HASHES)], F.lit(0))
+    left = met.join(pinned(far), at).where((F.col("node") != F.col("far")) & (alike >= int((threshold - 0.15) * HASHES)))
+    third = compared(left.select(F.col("node").alias("a"), F.col("far").alias("b")))
+    return first.unionByName(second).unionByName(third).distinct(), members
 
 
 def digest_rows(df: DataFrame) -> DataFrame:
