@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -30,7 +31,6 @@ END_ID = 1
 CACHED = 1 << 19
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-_UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -52,13 +52,17 @@ def _merger(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The split before the merges never joins what a single space between two visible characters parts, so such chunks are
-    encoded one by one and remembered; texts are mostly repeats of few chunks. Chunks of plain Latin letters go through the
-    ranks of the vocabulary; others, whose letter classes depend on a library's Unicode tables, and those that may hold a
-    special token go through the tokenizer itself.
+    encoded once and remembered; the new ones of a text in one call. Chunks of Latin letters get their ids from the ranks of
+    the vocabulary where these lie beside it; all others, whose letter classes depend on a library's Unicode tables, and
+    those that may hold a special token go through the tokenizer itself. Tests compare both.
     """
 
     def __init__(self, path: str):
@@ -66,29 +70,74 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer = Tokenizer.from_file(path)
-        self._special = tuple(self._tokenizer.get_added_tokens_decoder()[i].content
-                              for i in self._tokenizer.get_added_tokens_decoder())
+        special = {i: token.content for i, token in self._tokenizer.get_added_tokens_decoder().items()}
+        self._rare = re.compile("|".join(map(re.escape, special.values())) or r"(?!)")
         self._merger = _merger(path)
-        self._known: dict[str, bytes] = {}
+        if self._merger is not None:
+            tokens = [self._merger.decode_single_token_bytes(i) if i not in special else b"" for i in range(self._merger.n_vocab)]
+            self._spaced = np.array([token.startswith(b" ") for token in tokens])
+        self._known: dict[str, bytes | None] = {}
+        self._before: dict[str, bytes | None] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, text: str) -> bytes:
-        if self._merger is None or max(text) > "\u024f" or any(token in text for token in self._special):
-            return self._ids(text)
-        return np.array(self._merger.encode_ordinary(text), dtype="<u4").tobytes()
+        return _bytes(self._merger.encode_ordinary(text)) if self._plain(text) else self._ids(text)
 
-    def encode(self, text: str) -> bytes:
-        if not text or _UNEVEN.search(text):
-            return self._ids(text)
+    def _plain(self, text: str) -> bool:
+        """Whether the ranks give its ids: Latin letters only, and no special token."""
+        return self._merger is not None and (text.isascii() or max(text) <= "\u024f") and not self._rare.search(text)
+
+    def _uneven(self, text: str) -> bytes:
+        """Cut only at single spaces between two visible characters."""
         head, *chunks = text.split(" ")
-        known = self._known
-        if len(known) > CACHED:
-            known.clear()
+        parts = [[head]]
+        for chunk in chunks:
+            before = parts[-1][-1]
+            if before and not before[-1].isspace() and chunk and not chunk[0].isspace():
+                parts.append([])
+            parts[-1] += [" ", chunk] if chunk else [" "]
+        return b"".join([self._chunk("".join(part)) for part in parts])
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the chunks of a text. What has not been met for a while goes: two generations of ``CACHED`` chunks stay."""
+        if len(self._known) > CACHED:
+            self._known, self._before = {}, self._known
+        known, before, new = self._known, self._before, []
         for chunk in set(chunks).difference(known):
-            known[chunk] = self._chunk(" " + chunk)
-        return self._ids(head) + b"".join([known[chunk] for chunk in chunks])
+            if chunk in before:
+                known[chunk] = before[chunk]
+            elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
+                new.append(chunk)
+            else:
+                known[chunk] = None
+        joined = " " + " ".join(new)
+        if new and self._plain(joined):
+            # one call for all: exactly the first token of each chunk begins with its space
+            ids = np.array(self._merger.encode_ordinary(joined), dtype="<u4")
+            cuts = [*(4 * np.flatnonzero(self._spaced[ids])).tolist(), 4 * len(ids)]
+            packed = ids.tobytes()
+            known.update(zip(new, [packed[start:end] for start, end in zip(cuts, cuts[1:])], strict=True))
+        else:
+            known.update((chunk, self._chunk(" " + chunk)) for chunk in new)
+
+    def encode(self, text: str) -> bytes:
+        head, *chunks = text.split(" ")
+        if not chunks:
+            return self._chunk(text) if text else b""
+        last = chunks.pop()
+        if not head or head[-1].isspace() or not last or last[0].isspace():
+            return self._uneven(text)
+        try:
+            found = b"".join(map(self._known.__getitem__, chunks))
+        except (KeyError, TypeError):  # new chunks, or one beside an uneven blank
+            self._learn(chunks)
+            each = [self._known[chunk] for chunk in chunks]
+            if None in each:
+                return self._uneven(text)
+            found = b"".join(each)
+        return b"".join([self._chunk(head), found, self._chunk(" " + last)])
 
 
 @lru_cache(maxsize=2)
