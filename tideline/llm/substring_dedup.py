@@ -336,10 +336,15 @@ def _steps(dealt: DataFrame, size: int, bits: int) -> DataFrame:
     told = texts.applyInArrow(function, schema).groupBy("bucket").applyInArrow(_repeated_anchors, _REPLY)
     nodes = with_told(told, _send_nodes(size, bits))
     told = told.unionByName(nodes.groupBy("bucket").applyInArrow(_breaks, _REPLY))
-    # dealt once, for the first document of each path and for the join with it: a path is found in one pass over the texts
-    paths = with_told(told, _send_paths(size, bits)).repartition(partitions(dealt.sparkSession), "high", "low")
-    first = paths.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("last_doc").alias("last")).where("first < last")
-    met = paths.join(first.select("high", "low", "first"), ["high", "low"]).where("last_doc > first")
+    # dealt once, for the first document of each path and for the join with it: both sides name all columns, none of them null,
+    # so that Spark sees one exchange and finds the paths in one pass over the texts
+    send, schema = _send_paths(size, bits)
+    paths = with_told(told, (send, ", ".join(f"{field} not null" for field in schema.split(", "))))
+    paths = paths.repartition(partitions(dealt.sparkSession), "high", "low")
+    first = paths.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("last_doc").alias("last"),
+                                             F.max("group").alias("in"), F.max(F.octet_length("spans")).alias("bytes"))
+    first = first.where("first < last and in >= 0 and bytes > 0").select("high", "low", "first")
+    met = paths.join(first, ["high", "low"]).where("last_doc > first and doc >= first")
     return met.select("group", F.col("spans").alias("codes"), "first")
 
 
