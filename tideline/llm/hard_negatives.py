@@ -179,8 +179,9 @@ class Tree:
 
 def prepared(rows: DataFrame) -> DataFrame:
     """``node, vec_id, label, x`` of the rows that take part, numbered once."""
-    x = rows["embedding"].cast("array<double>")
-    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    kept_as = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    x = rows["embedding"].cast(kept_as)
+    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     kept = rows.where(rows["label"].isNotNull() & rows["embedding"].isNotNull() & ~odd)
     vec_id, label = rows["vec_id"].cast("bigint"), rows["label"].cast("bigint")
     label = F.when(vec_id % TURNED == 0, (label + 1) % LABELS).otherwise(label)
@@ -198,7 +199,7 @@ def indexed(rows: DataFrame) -> tuple[Tree, DataFrame, list[int]]:
         leaf = _descend(nodes, scaled(_matrix(batch["x"])), lambda *_: None)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
 
-    data = pinned(arrow_map(rows, deal, "node bigint, vec_id bigint, label bigint, x array<double>, leaf int"))
+    data = pinned(arrow_map(rows, deal, f"node bigint, vec_id bigint, label bigint, x {_kind(rows)}, leaf int"))
 
     def measure(batch):
         x, found = scaled(_matrix(batch["x"])), []
@@ -224,7 +225,8 @@ def indexed(rows: DataFrame) -> tuple[Tree, DataFrame, list[int]]:
     return tree, data, sizes
 
 
-ASK = "node bigint, label bigint, x array<double>, low array<bigint>, high array<bigint>, leaf int"
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["x"].dataType.simpleString()
 
 
 def routed(tree: Tree, searches: DataFrame) -> DataFrame:
@@ -244,7 +246,8 @@ def routed(tree: Tree, searches: DataFrame) -> DataFrame:
                                               pa.array(list(highs), pa.list_(pa.int64())), pa.array(np.full(len(rows), leaf, np.int32))],
                                              ["node", "label", "x", "low", "high", "leaf"])
 
-    return arrow_map(searches.select("node", "label", "x", "low", "high", "leaf"), route, ASK, most_bytes=1 << 20)
+    return arrow_map(searches.select("node", "label", "x", "low", "high", "leaf"), route,
+                     f"node bigint, label bigint, x {_kind(searches)}, low array<bigint>, high array<bigint>, leaf int", most_bytes=1 << 20)
 
 
 def _blocks(counts: list[int], size: int) -> Column:
