@@ -45,6 +45,17 @@ def test_compaction_splits_a_large_day_and_keeps_other_days(spark, tmp_path):
     assert lake.read_events(spark, root, compacted=True).count() == 2060
 
 
+def test_no_task_of_a_compaction_sorts_more_than_a_million_rows(spark, tmp_path):
+    root, (row,) = str(tmp_path), event_rows(1)
+    many = spark.range(1_300_000).join(F.broadcast(events(spark, [row]).drop("event_id", "product_id")))
+    many = many.select("*", F.col("id").cast("string").alias("event_id"), (F.col("id") % 3).cast("int").alias("product_id"))
+    lake.append_events(many, root)
+    assert lake.compact(spark, root)["files_after"] == 2
+    compacted = lake.read_events(spark, root, compacted=True, dedupe=False)
+    files = [r["count"] for r in compacted.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert sum(files) == 1_300_000 and max(files) <= 1_000_000
+
+
 def test_scopes_of_dedupe_differ_across_days(spark, tmp_path):
     root, rows = str(tmp_path), event_rows(10)
     moved = [(*r[:6], r[6].replace(year=2024), r[7]) for r in rows[:4]]
