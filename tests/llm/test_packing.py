@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tests.llm import odd
@@ -75,3 +76,17 @@ def test_sequences_round_trip(spark):
         own = built[r["sequence_id"]][r["offset"]:r["offset"] + r["length"]]
         assert np.array(own, "<u4").tobytes() == bytes(r["ids"])
     assert all(len(ids) == 2048 or len(ids) & (len(ids) - 1) == 0 for ids in built.values())
+
+
+def test_a_task_leaves_no_chunks_in_its_worker(spark):
+    path = packing.vocabulary()
+
+    def held(batches):
+        for batch in batches:
+            known = packing.encoder(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(known._known) + len(known._before)] * batch.num_rows)], ["n"])
+
+    texts = [(i, f"some chunks that only document{i} has") for i in range(400)]
+    assert packing.pieces(spark.createDataFrame(texts, "doc_id long, text string")).count() == 400
+    left = spark.range(0, 40, 1, 4).mapInArrow(held, "n long").collect()
+    assert {r["n"] for r in left} == {0}

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from tests.llm import odd
 from tideline.llm import toxicity
 
@@ -82,3 +84,19 @@ def test_texts_without_words_are_not_rejected_by_share(spark):
     for own in (labels, [(i, 1) for i, _ in labels]):
         found = toxicity.digest_rows(odd.documents(spark, rows), spark.createDataFrame(own, "doc_id long, toxic int")).collect()
         assert {r["predicted"] for r in found if r["doc_id"] >= 5000} == {0}
+
+
+def test_words_are_judged_in_slices(monkeypatch):
+    pick, sizes = np.random.default_rng(1), []
+    names = [f"{a}_{b}" for a in ("word", "gram", "context", "kinds") for b in ("toxic", "plain")] + ["tail", "after", "after_kinds", "letter"]
+    totals = dict.fromkeys(("toxic", "plain", "kinds_toxic", "kinds_plain", "letters", "tails"), 1e6)
+    tables = {name: pick.integers(0, 9, toxicity.BUCKETS).astype(np.float32) for name in names}
+    of_words = toxicity.Model.of_words
+    monkeypatch.setattr(toxicity.Model, "of_words", lambda self, words: sizes.append(len(words)) or of_words(self, words))
+    texts = [" ".join(f"word{i}" for i in range(20_000)).encode(), b"", b" -- ", b"word7 word19999"]
+    found = toxicity.Model(tables, totals, 0.5).of_texts(texts)
+    assert max(sizes) <= 8192 and sum(sizes) == 20_000
+    each = of_words(toxicity.Model(tables, totals, 0.5), [f"word{i}" for i in range(20_000)])
+    for x, own in ((found[0], each), (found[3], each[[7, 19_999]])):
+        assert np.allclose(x, own.sum(axis=0)[:5] / (len(own) + toxicity.WEIGHT))
+    assert found[1] is None and found[2] is None

@@ -28,7 +28,7 @@ from tideline.llm.common import arrow_map, partitions, text_bytes
 
 SIZE = 2048
 END_ID = 1
-CACHED = 1 << 19
+CACHED = 1 << 18
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -76,6 +76,10 @@ class Encoder:
         if self._merger is not None:
             tokens = [self._merger.decode_single_token_bytes(i) if i not in special else b"" for i in range(self._merger.n_vocab)]
             self._spaced = np.array([token.startswith(b" ") for token in tokens])
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the remembered chunks: they are most of what an encoder holds."""
         self._known: dict[str, bytes | None] = {}
         self._before: dict[str, bytes | None] = {}
 
@@ -202,7 +206,7 @@ def pieces(df: DataFrame, size: int = SIZE, end_id: int = END_ID, path: str | No
             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text_column).alias("text"))
-    return arrow_map(texts, cut, _PIECES)
+    return arrow_map(texts, cut, _PIECES, done=lambda: encoder(source).forget())
 
 
 def pack(cut: DataFrame, size: int = SIZE, groups: int | None = None) -> DataFrame:

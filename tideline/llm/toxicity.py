@@ -43,6 +43,8 @@ CLEAR = 2.0
 #: words of no evidence that each text is given, so that a few words alone do not decide
 WEIGHT = 3
 CACHED = 1 << 17
+#: words that are judged at once, so that the arrays over their letters stay small
+WORDS = 1 << 13
 TEXT_BYTES = 1 << 20
 START, END = "\x02", "\x03"
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡*_-–—"
@@ -141,7 +143,8 @@ class Model:
         new = list(chunks.difference(self.known))
         words = [word_of(chunk) for chunk in new]
         names = {word: i for i, word in enumerate(dict.fromkeys(filter(None, words)))}
-        found = np.vstack([self.of_words(list(names)), np.zeros((1, 6))])
+        every = list(names)
+        found = np.vstack([*[self.of_words(every[i:i + WORDS]) for i in range(0, len(every), WORDS)], np.zeros((1, 6))])
         base = len(self.measures)
         self.measures = np.vstack([self.measures, found[[names.get(word, -1) for word in words]]])
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
