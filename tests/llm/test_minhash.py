@@ -5,6 +5,7 @@ import numpy as np
 
 from tests.llm import odd
 from tideline.llm import minhash
+from tideline.llm.components import components
 
 
 def printed(text):
@@ -106,3 +107,67 @@ def test_similar_links_connect_what_is_similar(spark):
     assert len(links) < 6 * len(rows) and own[23] == 22 and own[21] == 20
     links, members = minhash.similar_links(odd.empty(spark))
     assert links.count() == members.count() == 0
+
+
+def test_similar_links_join_what_is_similar_to_different_hubs(spark):
+    """30 copies of one text and 30 of another; only the two texts themselves, which have larger ids, connect them."""
+    pick = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    places = pick.sample(range(2, 298), 6)
+
+    def changed(words, where, mark):
+        return " ".join(f"{mark}p{i}" if i in where else word for i, word in enumerate(words))
+
+    other = changed(base, set(places), "other").split()
+    rows = [(500, " ".join(base)), (501, " ".join(other))]
+    for first, words in ((0, base), (100, other)):
+        rows += [(i, changed(words, set(pick.sample(range(300), 3)), f"c{i}")) for i in range(first, first + 30)]
+    sets = {i: set(minhash.shingles(t.encode()).tolist()) for i, t in rows}
+    assert [(a, b) for a in sets for b in sets if (a in (500, *range(30))) and b in (501, *range(100, 130))
+            and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])] == [(500, 501)]
+    links, _ = minhash.similar_links(odd.documents(spark, rows))
+    assert {r["component"] for r in components(links).collect()} == {0}
+
+
+def test_similar_links_in_blocks(spark):
+    pick = random.Random(12)
+    words = [f"g{pick.randrange(900)}" for _ in range(100)]
+    rows = [(i, " ".join(f"c{pick.randrange(9)}" if place in marked else word for place, word in enumerate(words)))
+            for i in range(120) for marked in [set(pick.sample(range(100), pick.randrange(5)))]]
+    # one id with two texts takes part with both
+    rows += [(7, "quite another text of more than five words"), (300, "quite another text of more than five words here")]
+    docs = odd.documents(spark, rows)
+    whole, blocks = (odd.rows_of(components(minhash.similar_links(docs, most=most)[0])) for most in (minhash.BLOCK, 1000))
+    assert whole == blocks and len({c for _, c in whole}) > 1
+
+
+def brute_force(sets):
+    own = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            union = len(sets[a]) + len(sets[b]) - both
+            if (both / union if union else 1.0) >= 0.8:
+                own = [min(own[a], own[b]) if c in (own[a], own[b]) else c for c in own]
+    return own
+
+
+def test_forest_of_very_many_copies():
+    pick = random.Random(5)
+    words, more = [f"g{pick.randrange(900)}" for _ in range(400)], ["the", "and", *(f"v{i}" for i in range(300))]
+    texts = []
+    for _ in range(250):
+        other = list(words)
+        for place in pick.sample(range(400), pick.randrange(30)):
+            other[place] = pick.choice(more)
+        texts.append(" ".join(other))
+    for n, empty in ((250, []), (250, ["", ""]), (3, []), (2, []), (0, ["", ""]), (1, ["one two"])):
+        sets = [np.unique(minhash.shingles(text.encode())) for text in texts[:n] + empty]
+        links = minhash.similar_forest(sets)
+        own = list(range(len(sets)))
+        for a, b, jaccard in links:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert jaccard == (both / (len(sets[a]) + len(sets[b]) - both) if len(sets[a]) else 1.0) >= 0.8
+            assert own[a] != own[b]
+            own = [min(own[a], own[b]) if c in (own[a], own[b]) else c for c in own]
+        assert own == brute_force(sets)

@@ -10,8 +10,9 @@ range is dealt to the range before as well, so each range reads its documents in
 of the ranges are ids of documents (approximate percentiles), no more than shuffle partitions.
 
 ``similar_pairs`` joins bands of fingerprints, one row for equal sets of shingles, and verifies the Jaccard of what agrees.
-``similar_links`` gives links enough to connect what is similar, in number as the rows: in a band all are compared with two
-of them, and only those that are similar to neither with all.
+``similar_links`` gives links enough to connect what is similar: the nodes of a band meet in one task, packed, which gives the
+links of a spanning forest alone, by the shingles themselves. A band of very many shingles is cut into blocks, and each two
+blocks meet in a task. So no pair is a row, and none that shares a band is left out.
 
 A null text is an empty text. Rows with a null id have no next document: their last quarter is cut off. Rows that repeat
 under one id follow each other, by their packed text. An empty table gives an empty result.
@@ -35,6 +36,8 @@ HASHES = 64
 BANDS = 16
 LIKE = 0.8
 CHUNK = 1 << 12
+#: shingles in a block of a band
+BLOCK = 1 << 21
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(7)
@@ -160,12 +163,18 @@ def _representatives(df: DataFrame, id_column: str, text_column: str) -> tuple[D
 
     def judge(batch):
         own = batch.column(1).to_pylist()
-        sets = [hashlib.blake2b(np.unique(shingles(x)).tobytes(), digest_size=16).digest() for x in own]
+        sets, sizes = [], []
+        for x in own:
+            found = np.unique(shingles(x))
+            sets.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+            sizes.append(len(found))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(x).tobytes().hex() for x in own], pa.string()),
-                                          pa.array(sets, pa.binary())], ["doc_id", "fingerprint", "set"])
+                                          pa.array(sets, pa.binary()), pa.array(sizes, pa.int64())],
+                                         ["doc_id", "fingerprint", "set", "size"])
 
-    prints = pinned(arrow_map(texts, judge, "doc_id long, fingerprint string, set binary"))
-    nodes = pinned(prints.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("fingerprint").alias("fingerprint")))
+    prints = pinned(arrow_map(texts, judge, "doc_id long, fingerprint string, set binary, size long"))
+    nodes = pinned(prints.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("fingerprint").alias("fingerprint"),
+                                             F.first("size").alias("size")))
     members = prints.select("doc_id", "set").join(nodes, "set").select("doc_id", F.col("node").alias("representative"))
     return texts, nodes, members
 
@@ -217,49 +226,115 @@ def similar_pairs(df: DataFrame, threshold: float = LIKE, bands: int = BANDS, id
     return _verified(pairs, _node_texts(texts, nodes)).where(F.col("jaccard") >= threshold), members
 
 
+def similar_forest(sets: list[np.ndarray], threshold: float = LIKE) -> list[tuple[int, int, float]]:
+    """Places (a, b) and the Jaccard of a spanning forest of the similar pairs. Each is compared with those not yet reached.
+
+    What two sets share is counted at once for all: shingles of many sets as bits, those of few by their holders.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    if n == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        jaccard = both / (int(sizes.sum()) - both) if sizes.any() else 1.0
+        return [(0, 1, jaccard)] if jaccard >= threshold else []
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(sizes)
+    many = held > max(1, n // 64)
+    few = (held > 1) & ~many
+    place, width = np.cumsum(many) - 1, -(-int(many.sum()) // 64)
+    bits, step = np.zeros((n, width), _U), max(1, (1 << 18) // max(1, width))
+    for start in range(0, n if width else 0, step):
+        own = slice(ends[start] - sizes[start], ends[min(n, start + step) - 1])
+        dense = np.zeros((min(n, start + step) - start, 64 * width), bool)
+        row, marked = np.repeat(np.arange(len(dense)), sizes[start:start + step]), many[column[own]]
+        dense[row[marked], place[column[own][marked]]] = True
+        bits[start:start + step] = np.packbits(dense, axis=1).view(_U)
+    kept = few[column]
+    owners = np.repeat(np.arange(n), sizes)[kept]
+    column = (np.cumsum(few) - 1)[column[kept]]
+    holders, starts = owners[np.argsort(column, kind="stable")], np.r_[0, np.cumsum(held[few])]
+    first = np.searchsorted(owners, np.arange(n + 1))
+
+    def shared(node: int) -> np.ndarray:
+        own = column[first[node]:first[node + 1]]
+        sizes_ = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] + sizes_ - np.cumsum(sizes_), sizes_) + np.arange(sizes_.sum())
+        return np.bincount(holders[at], minlength=n)
+
+    links, left, rest = [], np.arange(n), bits
+    while len(left):
+        stack, left, rest = [int(left[0])], left[1:], rest[1:]
+        while stack and len(left):
+            node = stack.pop()
+            both = np.bitwise_count(rest & bits[node]).sum(axis=1, dtype=np.int64) + shared(node)[left]
+            union = sizes[left] + sizes[node] - both
+            jaccard = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+            near = jaccard >= threshold
+            if near.any():
+                reached = left[near].tolist()
+                links.extend((node, other, j) for other, j in zip(reached, jaccard[near].tolist(), strict=True))
+                stack.extend(reached)
+                left, rest = left[~near], rest[~near]
+    return links
+
+
 def similar_links(df: DataFrame, threshold: float = LIKE, bands: int = BANDS, id_column: str = "doc_id",
-                  text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+                  text_column: str = "text", most: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Verified links ``a``, ``b``, ``jaccard`` of representatives, and ``doc_id`` with its ``representative``.
 
-    All nodes that share a band are compared with the smallest one, the hub; those that are not similar to it with a second
-    hub, the smallest of them, and so are those that are. Nodes that are similar to neither hub are compared with all
-    of their band, by fingerprints inside the join and then by their texts. So a band of n near copies costs 2n comparisons;
-    not compared in a band are nodes that are similar to one hub each. Rows without an id take no part; an empty table gives no
-    links.
+    Nodes that share a band are compared by their shingles, so that whatever is similar there is connected; a band gives fewer
+    links than it has nodes, or than it has in each two blocks of about ``most`` shingles. Bands of the same nodes are
+    compared once. All texts of a node that has several take part. Rows without an id take no part; an empty table gives no links.
     """
     texts, nodes, members = _representatives(df, id_column, text_column)
     size, at = 4 * HASHES // bands, ["band", "key"]
     cut = F.array(*[F.substring("fingerprint", 1 + i * size, size) for i in range(bands)])
-    rows = nodes.select("node", "fingerprint", F.posexplode(cut).alias("band", "key"))
+    rows = nodes.select("node", "size", F.posexplode(cut).alias("band", "key"))
+    sums = rows.groupBy(*at).agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("first"),
+                                 *[F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"nodes{i}") for i in (1, 2)])
+    met = sums.where("n > 1").groupBy("n", "total", "first", "nodes1", "nodes2").agg(F.min(F.struct(*at)).alias("one"))
+    # written out, so that both sides of the join with it are dealt anew and a band of very many nodes can be split
+    met = pinned(met.select("one.*", F.greatest(F.lit(1), F.ceil(F.col("total") / most)).cast("int").alias("blocks")))
+    placed = rows.join(met, at).select(*at, "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
+        F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("own")))
+    placed = pinned(placed.select(*at, "node", "own", F.explode(others).alias("other")).select(
+        *at, F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node"))
+    packed = packed_texts(texts.join(placed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    groups = [*at, "one", "two"]
+    sided = placed.join(packed.distinct().toDF("node", "text"), "node").select(*groups, "node", "text")
+    dealt = sided.repartition(partitions(df.sparkSession), *groups).sortWithinPartitions(*groups, "node")
 
-    def hubs(table: DataFrame) -> DataFrame:
-        # written out, so that both sides of the join with it are dealt anew and a band of very many nodes can be split
-        return pinned(table.groupBy(F.col("band").alias("in"), F.col("key").alias("as")).agg(F.min("node").alias("hub"), F.count("*").alias("n")))
-
-    def with_hub(table: DataFrame, found: DataFrame) -> DataFrame:
-        met = table.join(found, (F.col("band") == F.col("in")) & (F.col("key") == F.col("as")))
-        return met.where("node <> hub").select(*at, "node", "fingerprint", "hub")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pinned(_verified(pairs, packed).where(F.col("jaccard") >= threshold))
-
-    def unlike(table: DataFrame, links: DataFrame) -> DataFrame:
-        told = links.select(F.col("a").alias("of"), F.col("b").alias("to"))
-        return table.join(told, (F.least("hub", "node") == F.col("of")) & (F.greatest("hub", "node") == F.col("to")), "left_anti")
-
-    hub_pair = [F.col("hub").alias("a"), F.col("node").alias("b")]
-    met = pinned(with_hub(rows, hubs(rows).where("n > 1")))
-    packed = pinned(_node_texts(texts, met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()))
-    first = compared(met.select(*hub_pair))
-    rest = pinned(unlike(met, first).drop("hub"))
-    again = with_hub(met.drop("hub"), hubs(rest))
-    second = compared(again.select(*hub_pair))
-    far = unlike(with_hub(rest, hubs(rest)), second).drop("hub").select(*at, F.col("node").alias("far"), F.col("fingerprint").alias("other"))
-    alike = sum([(F.substring("fingerprint", 1 + 4 * i, 4) == F.substring("other", 1 + 4 * i, 4)).cast("int") for i in range(HASHES)], F.lit(0))
-    left = met.join(pinned(far), at).where((F.col("node") != F.col("far")) & (alike >= int((threshold - 0.15) * HASHES)))
-    third = compared(left.select(F.col("node").alias("a"), F.col("far").alias("b")))
-    return first.unionByName(second).unionByName(third).distinct(), members
+    def run(batches):
+        mark, own, sets, found = None, [], [], []
+
+        def linked():
+            if len(own) > 1:
+                found.extend((min(own[a], own[b]), max(own[a], own[b]), jaccard)
+                             for a, b, jaccard in similar_forest(sets, threshold) if own[a] != own[b])
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)],
+                                              ["a", "b", "jaccard"])
+
+        for whole in batches:
+            for batch in slices(whole, 4 << 20):
+                marks = zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True)
+                for group, node, text in zip(marks, batch.column(4).to_pylist(), unpack(batch.column(5)), strict=True):
+                    if group != mark:
+                        linked()
+                        mark, own, sets = group, [], []
+                    own.append(node)
+                    sets.append(np.unique(shingles(text)))
+                if found:
+                    yield told()
+                    found = []
+        linked()
+        if found:
+            yield told()
+        pa.default_memory_pool().release_unused()
+
+    kinds = [pa.int64(), pa.int64(), pa.float64()]
+    return pinned(dealt.mapInArrow(run, "a long, b long, jaccard double")).distinct(), members
 
 
 def digest_rows(df: DataFrame) -> DataFrame:
